@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, chat, decontaminate, fingerprint, language, licenses, piece_codec, token_store
+from . import archive, chat, decontaminate, fingerprint, language, licenses, near_copies, piece_codec, token_store
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_token_store": op3_token_store,
     "op5_fingerprint": op5_fingerprint,
+    "op6_near_copies": op6_near_copies,
     "op7_piece_codec": op7_piece_codec,
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
