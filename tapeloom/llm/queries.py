@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import archive, chat, decontaminate, fingerprint, language, licenses, near_copies, piece_codec, token_store
+from . import archive, chat, decontaminate, fingerprint, language, licenses, line_dedup, near_copies, piece_codec, token_store
 from .common import table
 
 
@@ -34,6 +35,11 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
 
@@ -66,6 +72,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
     "op3_token_store": op3_token_store,
+    "op4_line_dedup": op4_line_dedup,
     "op5_fingerprint": op5_fingerprint,
     "op6_near_copies": op6_near_copies,
     "op7_piece_codec": op7_piece_codec,
