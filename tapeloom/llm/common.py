@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,20 +51,41 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
+    if Workspace.open:
+        Workspace.open[-1].paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def path_of(df: DataFrame) -> list[str]:
-    return [f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]]
+class Workspace:
+    """Tables written on the way to a result; all but those kept go when it ends.
 
+        with Workspace(spark) as work:
+            ...  # any materialize() in here
+            result = work.keep(df)
+    """
+
+    open: ClassVar[list[Workspace]] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Workspace:
+        Workspace.open.append(self)
+        return self
+
+    def keep(self, df: DataFrame, tag: str = "result") -> DataFrame:
+        """Write ``df`` where it outlives this workspace, but not the one around it."""
+        out = materialize(df, tag)
+        path = self.paths.pop()
+        if len(Workspace.open) > 1:
+            Workspace.open[-2].paths.append(path)
+        return out
 
-def drop(df: DataFrame) -> None:
-    """Delete a table made by :func:`materialize` that no later step reads."""
-    spark = df.sparkSession
-    for p in path_of(df):
-        if "/tapeloom-" in p:
-            path = spark._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def __exit__(self, *_) -> None:
+        Workspace.open.remove(self)
+        for p in self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shards(spark: SparkSession, times: int = 4) -> int:

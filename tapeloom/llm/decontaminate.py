@@ -238,6 +238,30 @@ def scan(
     return source.mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05) -> DataFrame:
+    """``docs`` without the contaminated ones; columns and the other texts as they are."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    automata = [spark.sparkContext.broadcast(a) for a in blocks(benchmark, window)]
+    at, parts = docs.columns.index("text"), round(1 / share)
+
+    def fine(text: str | None) -> bool:
+        words, spans = words_of(text), []
+        for automaton in automata:
+            spans += automaton.value.scan(words)[0]
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(spans, key=lambda s: s[1]):
+            _add(merged, a, b)
+        hit = sum(b - a for a, b in merged)
+        return not hit or parts * hit < len(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([fine(text) for text in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     """``text`` without the characters of the words in ``spans``."""
     if not text or not spans:

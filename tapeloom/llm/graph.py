@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop, materialize
+from .common import materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -38,8 +38,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(down, "b").select(F.col("m").alias("p"), F.explode(F.array("a", "b")).alias("q"))
         small = small.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
         small = materialize(small, "edges")
-        drop(large)
-        drop(stars)
         stars, now = small, _mark(small)
         if now == before:
             break
@@ -63,7 +61,7 @@ def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], tag: str) ->
     checked = materialize(first, tag)
     edges = materialize(verify(checked), tag)
     left, hubs = members.select("key", "id"), members.select("key", "hub").distinct()
-    n, scratch = 1, []
+    n = 1
     while True:
         roots = materialize(components(edges), tag)
         of = lambda df, name: df.join(roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root")), name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))  # noqa: B023, E731
@@ -82,7 +80,6 @@ def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], tag: str) ->
         left = materialize(left, tag)
         if left.isEmpty():
             return edges
-        scratch.append(left)
         n *= 4
         turn = Window.partitionBy("key").orderBy("id")
         hubs = materialize(left.withColumn("n", F.row_number().over(turn)).filter(F.col("n") <= n).select("key", F.col("id").alias("hub")), tag)

@@ -157,3 +157,16 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without those that have no letter, and so no language; columns as they are."""
+    small_batches(docs.sparkSession)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([score(text)[0] != UNKNOWN for text in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -73,31 +74,30 @@ def encode(
 ) -> DataFrame:
     """Ids and round trip of every text: ``keep``, n_tokens, ids_sha256, decoded_sha256.
 
-    ``with_ids`` adds the ids themselves and the decoded text.
+    ``with_ids`` adds the ids themselves.
     """
     small_batches(docs.sparkSession)
     source = docs.select(*keep, text_or_empty(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
     schema += ", n_tokens long, ids_sha256 string, decoded_sha256 string"
-    schema += ", ids array<int>, decoded string" if with_ids else ""
+    schema += ", ids array<int>" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model_path)
         for batch in batches:
-            n, ids_sha, text_sha, ids, texts = [], [], [], [], []
+            n, ids_sha, text_sha, ids = [], [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 coded, decoded = table.encode(text)
                 n.append(coded.count(b","))
                 ids_sha.append(hashlib.sha256(coded[:-1]).hexdigest())
                 text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
-                    ids.append(list(map(int, coded[:-1].split(b","))) if coded else [])
-                    texts.append(decoded)
+                    ids.append(np.fromstring(coded[:-1], np.int32, sep=",") if coded else [])
             made = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                made += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                names += ["ids", "decoded"]
+                made.append(pa.array(ids, pa.list_(pa.int32())))
+                names.append("ids")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *names])
 
     return source.mapInArrow(run, schema)
