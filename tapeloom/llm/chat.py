@@ -61,24 +61,23 @@ def paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
     links = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     known = links.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     links = links.join(known, ["tree", "parent"], "left").withColumn("parent", F.when(F.col("known"), F.col("parent")))
-    # far: the ancestor so many steps up; depth, total: steps and score below it, or below the root
-    jump = materialize(links.select("tree", "node", F.col("parent").alias("far"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), F.col("score").alias("total")), "jump")
     leaves = links.join(links.select("tree", F.col("parent").alias("node")).filter("node is not null").distinct(), ["tree", "node"], "left_anti")
     leaves = leaves.select("tree", F.col("node").alias("leaf"))
-    tables, n, reach = [jump], jump.count(), 1
-    while reach <= n and not jump.filter("far is not null").isEmpty():
-        up = jump.select("tree", F.col("node").alias("far"), F.col("far").alias("far2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        one = jump.join(up, ["tree", "far"], "left").select(
-            "tree",
-            "node",
-            F.col("far2").alias("far"),
-            (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-            (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
+    # far: the ancestor so many steps up; depth, total: steps and score below it, or below the root
+    start = F.when(F.col("parent").isNull(), 0).otherwise(1)
+    jump = materialize(links.select("tree", "node", F.col("parent").alias("far"), start.alias("depth"), F.col("score").alias("total")), "jump")
+    rooted, open_, reach, n = jump.filter("far is null"), jump.filter("far is not null"), 1, jump.count()
+    tables = [open_]
+    while reach <= n and not open_.isEmpty():  # only nodes that have not met their root go on
+        up = rooted.unionByName(open_).select("tree", F.col("node").alias("far"), F.col("far").alias("far2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
+        further = open_.join(up, ["tree", "far"]).select(
+            "tree", "node", F.col("far2").alias("far"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total")
         )
-        jump = materialize(one, "jump")
-        tables.append(jump)
+        jump = materialize(further, "jump")
+        rooted, open_ = rooted.unionByName(jump.filter("far is null")), jump.filter("far is not null")
+        tables.append(open_)
         reach *= 2
-    rooted = jump.filter("far is null").select("tree", F.col("node").alias("leaf"), "depth", "total")
+    rooted = rooted.select("tree", F.col("node").alias("leaf"), "depth", "total")
     order = Window.partitionBy("tree").orderBy(F.desc("total"), "leaf")
     ranked = leaves.join(rooted, ["tree", "leaf"]).withColumn("rank", F.row_number().over(order))
     if top is not None:
@@ -86,7 +85,7 @@ def paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
     # every distance is a sum of distinct powers of two, so each ancestor is met once
     found = materialize(ranked.select("tree", "leaf", "rank", "depth", F.col("leaf").alias("node")), "paths")
     for k in range(len(tables) - 1, -1, -1):
-        up = tables[k].filter("far is not null").select("tree", "node", "far")
+        up = tables[k].select("tree", "node", "far")
         higher = found.join(up, ["tree", "node"]).select("tree", "leaf", "rank", (F.col("depth") - 2**k).alias("depth"), F.col("far").alias("node"))
         found = materialize(found.unionByName(higher), "paths")
     return found
