@@ -45,10 +45,10 @@ class ChunkTable:
 
     def _segment(self, chunk: str) -> bytes:
         """The ids of one chunk as decimals, each with a comma behind it."""
-        if chunk[0] == MARK:
+        if chunk[0] == MARK and chunk != MARK:
             ids = self.sp.encode(chunk[1:].replace(MARK, " "))
-        else:  # behind a line feed: without a marker of its own
-            ids = self.sp.encode("\n" + chunk)[len(self.feed) :]
+        else:  # without a word or without a marker: as it stands behind a line feed
+            ids = self.sp.encode("\n" + chunk.replace(MARK, " "))[len(self.feed) :]
         if (said := self.sp.decode([self.feed[-1], *ids])[1:]) != (plain := chunk.replace(MARK, " ")):
             self.odd[plain] = said
         return b"".join(b"%d," % i for i in ids)
