@@ -203,3 +203,16 @@ def round_trip(pages: DataFrame, path: str | None = None, chunk: int = CHUNK, le
     write(pages, path, chunk, least)
     whole = read(pages.sparkSession, path, chunk, with_payload=False).filter("last")
     return whole.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def sql(least: int = 0) -> str:
+    """DuckDB SQL for the rows of :func:`round_trip`."""
+    groups = " || ".join(
+        f"array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {1 + 10 * i}, 10) AS BIGINT) >> (35 - 5 * j)) & 31 AS INTEGER) + 1, 1) FOR j IN range(8)], '')"
+        for i in range(4)
+    )
+    return f"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        o AS (SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS original, count(*) OVER (PARTITION BY h, payload_bytes) AS n FROM p),
+        r AS (SELECT *, CASE WHEN n > 1 AND payload_bytes >= {least} AND page_id IS DISTINCT FROM original THEN original END AS refers_to FROM o)
+        SELECT page_id, payload_bytes, {groups} AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r"""

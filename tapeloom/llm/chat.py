@@ -146,3 +146,24 @@ def round_trip(spark: SparkSession, turns: DataFrame) -> DataFrame:
     """Format linear conversations, write the output, and read it back."""
     nodes = materialize(trees(turns), "nodes")
     return read_back(materialize(format_paths(nodes, top=1), "chat"))
+
+
+def sql(extra: list[tuple[int, int, str, str]]) -> str:
+    """DuckDB SQL for the rows of :func:`round_trip` over conversations and ``extra`` turns."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def escaped(c: str) -> str:
+        out = f"replace(coalesce({c}, ''), chr(92), chr(92) || chr(92))"
+        for x in CONTROLS:
+            out = f"replace({out}, {quoted(x)}, {quoted(x[0])} || chr(92) || {quoted(x[1:])})"
+        return out
+
+    rows = " ".join(f"UNION ALL SELECT {c}, {t}, {quoted(r)}, {quoted(x)}" for c, t, r, x in extra)
+    order = "ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST"
+    masked = f"coalesce(string_agg(coalesce(text, ''), '' {order}) FILTER (WHERE role = 'assistant'), '')"
+    return f"""
+        WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL {rows})
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' {order})) AS turns_sha256,
+            length({masked}) AS loss_chars, sha256({masked}) AS loss_sha256,
+            CAST(sum(length({escaped("role")}) + length({escaped("text")}) + {len(START) + len(STOP) + 2}) AS BIGINT) AS formatted_chars
+        FROM t GROUP BY conv_id"""

@@ -81,7 +81,6 @@ class SuffixAutomaton:
             found = own.get(v, []) + self.short.get(self.link[v], []) if v else []
             if found:
                 self.short[v] = found
-        self.one_word = any(n == 1 for _, n, _ in short)
         self.least = min([window, *(n for _, n, _ in short)])
         self.pairs = np.array(sorted(a * len(self.ids) + b for a, b in pairs), np.int64)
 
@@ -122,7 +121,7 @@ class SuffixAutomaton:
             return spans, items
         codes = np.fromiter((self.ids.get(w, -1) for w in words), np.int64, n)
         known = codes >= 0
-        if self.one_word:
+        if self.least == 1:
             runs = _runs(known)
         else:  # only where neighbours stand side by side in some item can a match go on
             joined = known[:-1] & known[1:]
@@ -279,3 +278,21 @@ def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
         out.append(data[done : starts[a]])
         done = ends[b - 1]
     return b"".join([*out, data[done:]]).decode()
+
+
+def sql(window: int = WINDOW) -> str:
+    """DuckDB SQL for the rows of :func:`scan`, by joining all windows as strings."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+        i AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark),
+        cut AS (SELECT item, w, least({window}, len(w)) AS k, unnest(range(1, len(w) - least({window}, len(w)) + 2)) AS p FROM i WHERE len(w) > 0),
+        iw AS (SELECT DISTINCT item, k, array_to_string(w[p : p + k - 1], ' ') AS win FROM cut),
+        placed AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM iw) AS ks WHERE len(w) >= k),
+        met AS (SELECT r, p, dw.k, item FROM (SELECT r, k, p, array_to_string(w[p : p + k - 1], ' ') AS win FROM placed) AS dw JOIN iw ON iw.k = dw.k AND iw.win = dw.win),
+        hits AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM met) AS x GROUP BY r),
+        named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM met GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN hits USING (r) LEFT JOIN named USING (r)"""

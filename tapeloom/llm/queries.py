@@ -61,10 +61,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.round_trip(table(spark, sf_dir, "pages"))
 
 
+#: A conversation whose texts look like another template's control strings.
+TRAP = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    trap = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], turns.schema)
+    own = spark.createDataFrame(TRAP, turns.schema)
     return chat.round_trip(spark, turns.unionByName(own))
 
 
@@ -83,4 +86,7 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_license_scan": licenses.sql(),
+    "op8_decontaminate": decontaminate.sql(),
+    "op9_warc": archive.sql(),
+    "op10_chat": chat.sql(TRAP),
 }
