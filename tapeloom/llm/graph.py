@@ -1,4 +1,4 @@
-"""Links within candidate buckets, and connected components, as DataFrame joins.
+"""Classes within candidate buckets, and connected components, as DataFrame joins.
 
 No bucket is ever collected or expanded into all pairs: each is compared with a few hubs
 of its own, members that a hub accounts for are done, and the rest choose new hubs.
@@ -6,80 +6,158 @@ of its own, members that a hub accounts for are done, and the rest choose new hu
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import Workspace, materialize
+
+#: Hubs that each member is compared with at first, one at a time; then, times as many
+#: hubs of a bucket in each round.
+SWEEPS, GROWTH = 3, 4
+FEW_EDGES = 200_000
 
 
 def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-    return tuple(row)
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(find, nodes), pa.int64())], names=["node", "root"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, python: bool = False) -> DataFrame:
     """(node, root) of every node of undirected ``edges`` (a, b); root is the least node.
 
-    Alternates two star steps until the edges are stars: each node hands its larger
+    With ``python``, up to ``FEW_EDGES`` edges are united in one task, which then holds some
+    20 MB. More, or in a native plan all, take rounds that alternate two star steps until the edges are stars: each node hands its larger
     neighbours, then its smaller ones, to the least node it knows. The number of rounds
     grows with the logarithm of the longest chain; each is written to shared storage.
     """
-    stars = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    before = _mark(stars)
-    while before[0]:
-        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
-        large = materialize(large, "edges")
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b").select(F.col("m").alias("p"), F.explode(F.array("a", "b")).alias("q"))
-        small = small.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        small = materialize(small, "edges")
-        stars, now = small, _mark(small)
-        if now == before:
-            break
-        before = now
-    leaves = stars.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    return leaves.unionByName(stars.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-
-
-def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
-    """Verified links (a, b) that connect what shares a bucket: ``keys`` has (key, id).
-
-    First every id is compared with the least hub of all its buckets, which accounts for
-    most members of a group of near copies at one comparison each. Then, bucket by
-    bucket, hubs are compared with all members not yet connected to them; members
-    connected to a hub are done, the others take their turn as hubs, four times as many
-    in each round. ``verify`` keeps the pairs (member a, hub b) that are similar enough.
+    with Workspace(edges.sparkSession) as work:
+        stars = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        before = _mark(stars)
+        if python and before[0] <= FEW_EDGES:
+            return work.keep(stars.coalesce(1).mapInArrow(_united, "node long, root long"))
+        while before[0]:
+            both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+            large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
+            down = large.groupBy("b").agg(F.min("a").alias("m"))
+            small = large.join(down, "b").select(F.col("m").alias("p"), F.explode(F.array("a", "b")).alias("q"))
+            small = small.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+            stars = materialize(small, "edges")
+            now = _mark(stars)
+            if now == before:
+                break
+            before = now
+        leaves = stars.select(F.col("b").alias("node"), F.col("a").alias("root"))
+        return work.keep(leaves.unionByName(stars.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()))
+
+
+def _rooted(df: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``name``_root: the root of the node in column ``name``, or itself."""
+    own = roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    return df.join(own, name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
+
+
+def merged(roots: DataFrame, edges: DataFrame, python: bool = False) -> DataFrame:
+    """``roots`` (node, root) after more ``edges`` (a, b), of which only those between
+    different roots matter."""
+    between = _rooted(_rooted(edges, roots, "a"), roots, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).filter("a <> b")
+    new = components(between, python)
+    moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    known = moved.select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(known.unionByName(new.join(roots, "node", "left_anti").select("node", "root")), "roots")
+
+
+def shared_buckets(keys: DataFrame) -> DataFrame:
+    """The rows of ``keys`` (key, id) whose key has several ids; one shuffle serves both
+    the sizes and the join."""
+    dealt = keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    sizes = dealt.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y").select("key")
+    return dealt.join(sizes.hint("shuffle_hash"), "key", "left_semi")
+
+
+def classes(
+    members: DataFrame,
+    sketches: DataFrame,
+    bands: int,
+    alike: Callable[[str, str], Column],
+    verify: Callable[[DataFrame], DataFrame],
+    tag: str,
+    python: bool = False,
+) -> DataFrame:
+    """(node, root) of all nodes that a chain of verified pairs in common buckets connects.
+
+    ``members`` has key, band and id, of buckets with several ids, and ``sketches`` id and a
+    struct ``sketch``, by which ``alike(x, y)`` tells cheaply that two ids may be similar;
+    its fields k0, k1 ... are the id's keys in the ``bands``. A pair that shares several
+    buckets comes out of the first in which the one is a hub.
+    ``verify`` keeps the pairs (a: member, b: hub) that are similar. ``python`` allows that
+    few edges are united in Python.
+
+    ``SWEEPS`` times every id is compared with one hub, the least of those that its buckets
+    choose by another order each time; that connects most of a group of near copies at one
+    comparison a member. Then, in buckets that still hold several classes, hubs are
+    compared with all members not connected to them; members connected to a hub are done,
+    the others take their turn as hubs, ``GROWTH`` times as many in each round, until none
+    is left: every member has been a hub of its bucket or is connected to one, and no pair
+    of hub and member that may be similar went unverified.
     """
-    sizes = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub <> top")
-    members = materialize(keys.join(sizes.select("key", "hub"), "key").distinct(), tag)
-    first = members.filter("id <> hub").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    checked = materialize(first, tag)
-    edges = materialize(verify(checked), tag)
-    left, hubs = members.select("key", "id"), members.select("key", "hub").distinct()
-    n = 1
-    while True:
-        roots = materialize(components(edges), tag)
-        of = lambda df, name: df.join(roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root")), name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))  # noqa: B023, E731
-        # both ways round is one pair; a pair is looked at once
-        met = of(of(members.select("key", "id").join(hubs, "key").filter("id <> hub"), "id"), "hub").filter("id_root <> hub_root")
+    spark = members.sparkSession
+    members = materialize(members.join(sketches, "id").select("key", "band", "id", "sketch"), tag)
+    roots, checked = spark.createDataFrame([], "node long, root long"), None
+    near = (F.col("id_root") != F.col("hub_root")) & (F.col("id") != F.col("hub")) & alike("sketch", "hub_sketch")
+    shared = [
+        F.when((F.col(f"sketch.k{k}") == F.col(f"hub_sketch.k{k}")) & (F.col("turns").bitwiseAND(F.lit(1 << k)) != 0), F.lit(k)) for k in range(bands)
+    ]
+    near = near & (F.col("band") == F.coalesce(*shared))
+
+    def compare(hubs: DataFrame, one_each: bool) -> None:
+        nonlocal roots, checked
+        turns = hubs.groupBy("hub").agg(F.bit_or(F.expr("shiftleft(1L, hub_band)")).alias("turns"))
+        theirs = _rooted(hubs.drop("hub_band").join(turns, "hub"), roots, "hub")
+        met = _rooted(members, roots, "id").join(theirs, "key").filter(near)
+        met = met.groupBy("id").agg(F.min("hub").alias("hub")) if one_each else met.select("id", "hub").distinct()
         pairs = met.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
-        seen = checked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        pairs = materialize(pairs.join(seen, ["a", "b"], "left_anti"), tag)
+        pairs = materialize(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), tag)
         if not pairs.isEmpty():
-            edges = materialize(edges.unionByName(verify(pairs)), tag)
-            checked = materialize(checked.unionByName(pairs), tag)
-            roots = materialize(components(edges), tag)
-        # done: hubs, and members connected to a hub of their bucket
-        done = of(hubs, "hub").select("key", F.col("hub_root").alias("id_root")).distinct()
-        left = of(left, "id").join(done, ["key", "id_root"], "left_anti").select("key", "id")
-        left = materialize(left, tag)
-        if left.isEmpty():
-            return edges
-        n *= 4
-        turn = Window.partitionBy("key").orderBy("id")
-        hubs = materialize(left.withColumn("n", F.row_number().over(turn)).filter(F.col("n") <= n).select("key", F.col("id").alias("hub")), tag)
+            roots = merged(roots, materialize(verify(pairs), tag), python)
+            checked = pairs if checked is None else checked.unionByName(pairs)
+
+    def with_sketch(chosen: DataFrame) -> DataFrame:
+        return members.join(chosen, ["key", "id"], "left_semi").select("key", F.col("id").alias("hub"), F.col("band").alias("hub_band"), F.col("sketch").alias("hub_sketch"))
+
+    for sweep in range(SWEEPS):
+        order = F.col("id") if not sweep else F.xxhash64(F.lit(sweep), "id")
+        compare(materialize(with_sketch(members.groupBy("key").agg(F.min_by("id", order).alias("id"))), tag), one_each=True)
+    own = _rooted(members, roots, "id")
+    mixed = own.groupBy("key").agg(F.min("id_root").alias("x"), F.max("id_root").alias("y")).filter("x <> y").select("key")
+    members = materialize(members.join(mixed, "key", "left_semi"), tag)
+    left, n = members.select("key", "id"), 1
+    while not left.isEmpty():
+        n *= GROWTH
+        chosen = left.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("n") <= n).select("key", "id")
+        hubs = materialize(with_sketch(chosen), tag)
+        compare(hubs, one_each=False)
+        done = _rooted(hubs, roots, "hub").select("key", F.col("hub_root").alias("id_root")).distinct()
+        left = materialize(_rooted(left, roots, "id").join(done, ["key", "id_root"], "left_anti").select("key", "id"), tag)
+        members = materialize(members.join(left.select("key").distinct(), "key", "left_semi"), tag)
+    return roots
