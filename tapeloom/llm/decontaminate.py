@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 WINDOW = 13
 #: Words of the benchmark in one automaton: some hundred MB of Python objects at most.
@@ -234,7 +234,7 @@ def scan(
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.list_(pa.int32()))]
     if with_text:
         names_out, types = [*names_out, "cleaned"], [*types, pa.string()]
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05) -> DataFrame:
@@ -258,7 +258,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
         for batch in batches:
             yield batch.filter(pa.array([fine(text) for text in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:

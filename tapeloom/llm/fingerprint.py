@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shards, small_batches, text_or_empty
+from .common import shards, small_batches, text_or_empty, tidy
 
 EXACT, LIKE, RUN = 32, 256, 8
 PIECES = re.compile(r"(?:\S+\s*){1,%d}" % RUN)
@@ -131,7 +131,7 @@ def _firsts(docs: DataFrame, parts: int) -> list[int]:
             yield pa.RecordBatch.from_arrays([pa.array([best], pa.int64())], names=["first"])
 
     ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(LEAST)).alias("k")).repartitionByRange(parts, "k")
-    return sorted({r["first"] for r in ids.mapInArrow(top, "first long").collect()})
+    return sorted({r["first"] for r in ids.mapInArrow(tidy(top), "first long").collect()})
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     names = ["shard", "carry", "k", "doc_id", "text"]
     source = docs.select(F.coalesce(F.col("doc_id"), F.lit(LEAST)).alias("k"), "doc_id", text_or_empty().alias("text"))
-    dealt = source.mapInArrow(deal, "shard long, carry boolean, k long, doc_id long, text string")
+    dealt = source.mapInArrow(tidy(deal), "shard long, carry boolean, k long, doc_id long, text string")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, "shard").sortWithinPartitions("shard", "carry", F.desc("k"), "text")
 
@@ -200,4 +200,4 @@ def compare_edits(docs: DataFrame) -> DataFrame:
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).mapInArrow(run, kinds)
+    return with_next(docs).mapInArrow(tidy(run), kinds)

@@ -18,7 +18,7 @@ from .common import Workspace, materialize
 #: Hubs that each member is compared with at first, one at a time; then, times as many
 #: hubs of a bucket in each round.
 SWEEPS, GROWTH = 3, 4
-FEW_EDGES = 200_000
+FEW_EDGES, FEW_ROOTS = 200_000, 1_000_000
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -72,8 +72,12 @@ def components(edges: DataFrame, python: bool = False) -> DataFrame:
 
 
 def _rooted(df: DataFrame, roots: DataFrame, name: str) -> DataFrame:
-    """``df`` with ``name``_root: the root of the node in column ``name``, or itself."""
+    """``df`` with ``name``_root: the root of the node in column ``name``, or itself.
+
+    Up to ``FEW_ROOTS`` roots, 16 MB, go to all executors, and ``df`` stays where it is.
+    """
     own = roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    own = F.broadcast(own) if roots.limit(FEW_ROOTS + 1).count() <= FEW_ROOTS else own
     return df.join(own, name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
 
 
@@ -132,8 +136,8 @@ def classes(
 
     def compare(hubs: DataFrame, one_each: bool) -> None:
         nonlocal roots, checked
-        turns = hubs.groupBy("hub").agg(F.bit_or(F.expr("shiftleft(1L, hub_band)")).alias("turns"))
-        theirs = _rooted(hubs.drop("hub_band").join(turns, "hub"), roots, "hub")
+        turns = F.bit_or(F.expr("shiftleft(1L, hub_band)")).over(Window.partitionBy("hub"))  # a row a band at most
+        theirs = _rooted(hubs.withColumn("turns", turns).drop("hub_band"), roots, "hub")
         met = _rooted(members, roots, "id").join(theirs, "key").filter(near)
         met = met.groupBy("id").agg(F.min("hub").alias("hub")) if one_each else met.select("id", "hub").distinct()
         pairs = met.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()

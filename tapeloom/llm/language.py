@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Memo, small_batches
+from .common import Memo, small_batches, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -133,7 +133,7 @@ def train(docs: DataFrame, max_rows: int = 20_000, max_words: int = 30_000, max_
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     ids = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).distinct()
     rows = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
-    counts = rows.mapInArrow(_count, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(_count), "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("total", F.sum("n").over(Window.partitionBy("lang", "size"))).withColumn(
         "rank", F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram"))
     )
@@ -156,7 +156,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             made = [pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
@@ -169,4 +169,4 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([score(text)[0] != UNKNOWN for text in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, small_batches, text_or_empty
+from .common import Memo, small_batches, text_or_empty, tidy
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
@@ -100,4 +100,4 @@ def encode(
                 names.append("ids")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
