@@ -22,13 +22,14 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, scratch, small_batches, text_or_empty
+from .common import Memo, scratch, small_batches, text_or_empty, tidy
 
 SEGMENT = 1 << 18
 BLOCK = 512
@@ -142,6 +143,12 @@ class WordEncoder:
         return self._library(text)
 
 
+@cache
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder, and so one table of words, in each Python worker for all its tasks."""
+    return WordEncoder(path, limit=500_000)
+
+
 def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, text_col: str = "text") -> None:
     """Encode ``docs`` and write segments in ascending doc_id order under ``path``."""
     spark = docs.sparkSession
@@ -157,7 +164,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encoder = TaskContext.get().partitionId(), WordEncoder(tokenizer_path)
+        shard, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer_path)
         first, seg, n, doc_ids, sizes, held = 0, 0, 0, [], [], []
 
         def segment() -> pa.RecordBatch:
@@ -181,7 +188,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, text
     names = ["shard", "segment", "first", "n_ids", "doc_ids", "sizes", "codes"]
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
     kinds = "shard int, segment int, first long, n_ids long, doc_ids array<long>, sizes array<int>, codes binary"
-    ordered.mapInArrow(run, kinds).write.parquet(path)
+    ordered.mapInArrow(tidy(run), kinds).write.parquet(path)
 
 
 SCHEMA = "shard int, segment int, first long, n_ids long, doc_ids array<long>, sizes array<int>, codes binary"
@@ -218,7 +225,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(made, names=names)
 
     kinds = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return rows.mapInArrow(run, kinds)
+    return rows.mapInArrow(tidy(run), kinds)
 
 
 def store(docs: DataFrame, tokenizer_path: str, end_id: int = 1, path: str | None = None) -> DataFrame:
