@@ -1,7 +1,7 @@
 """Classes within candidate buckets, and connected components, as DataFrame joins.
 
-No bucket is ever collected or expanded into all pairs: each is compared with a few hubs
-of its own, members that a hub accounts for are done, and the rest choose new hubs.
+No bucket is ever collected: its members are compared with hubs of its own, and only pairs
+of members in different classes are, as long as there are such.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from .common import Workspace, materialize
 #: Hubs that each member is compared with at first, one at a time; then, times as many
 #: hubs of a bucket in each round.
 SWEEPS, GROWTH = 3, 4
+#: Hubs of a bucket that meet its members in one place.
+BLOCK = 64
 FEW_EDGES, FEW_ROOTS = 200_000, 1_000_000
 
 
@@ -119,11 +121,12 @@ def classes(
 
     ``SWEEPS`` times every id is compared with one hub, the least of those that its buckets
     choose by another order each time; that connects most of a group of near copies at one
-    comparison a member. Then, in buckets that still hold several classes, hubs are
-    compared with all members not connected to them; members connected to a hub are done,
-    the others take their turn as hubs, ``GROWTH`` times as many in each round, until none
-    is left: every member has been a hub of its bucket or is connected to one, and no pair
-    of hub and member that may be similar went unverified.
+    comparison a member. Then, in buckets that still hold several classes, members outside
+    the bucket's largest class take turns as hubs, ``GROWTH`` times as many in each round
+    and those of different classes first, and are compared with all members of other
+    classes that were no hubs before. It ends when no bucket has such a member left: of any
+    two members in different classes one is outside the largest and has been a hub, so no
+    pair that may be similar went unverified. Large rounds are dealt out in blocks of hubs.
     """
     spark = members.sparkSession
     members = materialize(members.join(sketches, "id").select("key", "band", "id", "sketch"), tag)
@@ -134,11 +137,15 @@ def classes(
     ]
     near = near & (F.col("band") == F.coalesce(*shared))
 
-    def compare(hubs: DataFrame, one_each: bool) -> None:
+    def compare(hubs: DataFrame, others: DataFrame, one_each: bool) -> None:
         nonlocal roots, checked
         turns = F.bit_or(F.expr("shiftleft(1L, hub_band)")).over(Window.partitionBy("hub"))  # a row a band at most
         theirs = _rooted(hubs.withColumn("turns", turns).drop("hub_band"), roots, "hub")
-        met = _rooted(members, roots, "id").join(theirs, "key").filter(near)
+        on = ["key", "block"] if "block" in hubs.columns else ["key"]
+        if "block" in on:
+            blocks = hubs.groupBy("key").agg(F.max("block").alias("last"))
+            others = others.join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
+        met = _rooted(others, roots, "id").join(theirs, on).filter(near)
         met = met.groupBy("id").agg(F.min("hub").alias("hub")) if one_each else met.select("id", "hub").distinct()
         pairs = met.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
         pairs = materialize(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), tag)
@@ -147,21 +154,33 @@ def classes(
             checked = pairs if checked is None else checked.unionByName(pairs)
 
     def with_sketch(chosen: DataFrame) -> DataFrame:
-        return members.join(chosen, ["key", "id"], "left_semi").select("key", F.col("id").alias("hub"), F.col("band").alias("hub_band"), F.col("sketch").alias("hub_sketch"))
+        rest = [c for c in chosen.columns if c not in ("key", "id")]
+        return members.join(chosen, ["key", "id"]).select("key", F.col("id").alias("hub"), F.col("band").alias("hub_band"), F.col("sketch").alias("hub_sketch"), *rest)
 
     for sweep in range(SWEEPS):
         order = F.col("id") if not sweep else F.xxhash64(F.lit(sweep), "id")
-        compare(materialize(with_sketch(members.groupBy("key").agg(F.min_by("id", order).alias("id"))), tag), one_each=True)
-    own = _rooted(members, roots, "id")
-    mixed = own.groupBy("key").agg(F.min("id_root").alias("x"), F.max("id_root").alias("y")).filter("x <> y").select("key")
-    members = materialize(members.join(mixed, "key", "left_semi"), tag)
-    left, n = members.select("key", "id"), 1
-    while not left.isEmpty():
+        compare(materialize(with_sketch(members.groupBy("key").agg(F.min_by("id", order).alias("id"))), tag), members, one_each=True)
+
+    def mixed() -> DataFrame:
+        sizes = _rooted(members.select("key", "id"), roots, "id").groupBy("key", "id_root").agg(F.count(F.lit(1)).alias("n"))
+        found = sizes.groupBy("key").agg(F.max_by("id_root", F.struct("n", "id_root")).alias("largest"), F.count(F.lit(1)).alias("classes"))
+        return materialize(found.filter("classes > 1").select("key", "largest"), tag)
+
+    several, n = mixed(), 1
+    members = materialize(members.join(several.select("key"), "key", "left_semi"), tag)
+    left = members  # those that were no hubs
+    while not several.isEmpty():
         n *= GROWTH
-        chosen = left.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("n") <= n).select("key", "id")
-        hubs = materialize(with_sketch(chosen), tag)
-        compare(hubs, one_each=False)
-        done = _rooted(hubs, roots, "hub").select("key", F.col("hub_root").alias("id_root")).distinct()
-        left = materialize(_rooted(left, roots, "id").join(done, ["key", "id_root"], "left_anti").select("key", "id"), tag)
-        members = materialize(members.join(left.select("key").distinct(), "key", "left_semi"), tag)
+        outside = _rooted(left.select("key", "id"), roots, "id").join(several, "key").filter("id_root <> largest")
+        outside = outside.withColumn("turn", F.row_number().over(Window.partitionBy("key", "id_root").orderBy("id")))
+        chosen = outside.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("turn", "id"))).filter(F.col("n") <= n)
+        block = [] if n <= BLOCK else [F.expr(f"cast((n - 1) div {BLOCK} as int)").alias("block")]
+        hubs = materialize(with_sketch(chosen.select("key", "id", *block)), tag)
+        if hubs.isEmpty():
+            break
+        compare(hubs, left, one_each=False)
+        several = mixed()
+        members = materialize(members.join(several.select("key"), "key", "left_semi"), tag)
+        left = left.join(several.select("key"), "key", "left_semi")
+        left = materialize(left.join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti").select(*members.columns), tag)
     return roots

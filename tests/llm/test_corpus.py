@@ -172,6 +172,19 @@ def test_components(spark):
         assert graph.components(spark.createDataFrame([], "a long, b long"), python).count() == 0
 
 
+@pytest.mark.parametrize("size", [12, 150])
+def test_groups_joined_by_one_pair_of_members(spark, size):
+    one, two, odd = range(size), range(1000, 1000 + size), range(5000, 5003)
+    edges = {(a, b) for group in (one, two) for a in group for b in group if a > b} | {(1000 + size // 2, size // 3)}
+    ids = [*one, *two, *odd]
+    members = spark.createDataFrame([(band * 7, band, i) for band in (0, 1) for i in ids], "key long, band int, id long")
+    sketches = spark.createDataFrame([(i, (0, 7)) for i in ids], "id long, sketch struct<k0 long, k1 long>")
+    links = spark.createDataFrame(sorted(edges), "a long, b long")
+    with common.Workspace(spark) as work:
+        roots = work.keep(graph.classes(members, sketches, 2, lambda x, y: F.lit(True), lambda pairs: pairs.join(links, ["a", "b"]), "test", python=True))
+    assert {r["node"]: r["root"] for r in roots.collect()} == dict.fromkeys([*one, *two], 0)
+
+
 @pytest.fixture(scope="module")
 def copies():
     """Texts with changed copies of all degrees, many in one group, and unrelated ones."""
