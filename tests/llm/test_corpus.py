@@ -224,6 +224,34 @@ def test_classes_equal_brute_force(spark, copies):
     assert sorted(k for k in kept if k is not None) == sorted(set(want.values())) and kept.count(None) == 1
 
 
+def short_pairs():
+    """Texts of different lengths and copies at a similarity of 0.8 to 0.9, by length."""
+    rows, n = [], 0
+    for size, changed in ((8, None), (10, None), (20, None), (50, 25), (100, 50)):
+        for k in range(60):
+            text = words(size, seed=7919 * size + k, vocabulary=10**6)
+            copy = [*text, "appended"] if changed is None else [*text[:changed], "changed", *text[changed + 1 :]]
+            rows += [(n, " ".join(text)), (n + 1, " ".join(copy))]
+            n += 2
+    return rows
+
+
+def test_short_copies_in_a_common_band_are_one_class(spark):
+    rows = short_pairs()
+    shingler, features = near_copies.Shingler(), []
+    with np.errstate(over="ignore"):
+        for _, text in rows:
+            shingles, counts = shingler(decontaminate.words_of(text))
+            features.append((shingles, counts.astype(float)))
+        keys = near_copies.bands(near_copies.signatures_of(features))
+    like = [near_copies.similarity(features[i], features[i + 1]) >= 0.8 for i in range(0, len(rows), 2)]
+    meet = [(keys[i] == keys[i + 1]).any() for i in range(0, len(rows), 2)]
+    found = {r["doc_id"]: r["class_id"] for r in near_copies.classes(spark.createDataFrame(rows, DOCS)).collect()}
+    together = [found[i] == found[i + 1] for i in range(0, len(rows), 2)]
+    assert sum(like) > 200
+    assert together == [a and b for a, b in zip(like, meet, strict=True)]
+
+
 def test_document_frequencies_are_exact(spark):
     rows = [(i, "a b c d e f" + (" g" if i % 5 else "")) for i in range(80)] + [(100 + i, " ".join(words(20, seed=i))) for i in range(20)]
     weights = near_copies.common_shingles(spark.createDataFrame(rows, DOCS))
