@@ -344,6 +344,17 @@ def test_a_long_line_and_its_changed_copy(spark):
     assert [r["text"] == "" for r in line_dedup.dedup(docs).orderBy("doc_id").collect()] == [False, True, False]
 
 
+def kept_lines(spark, *lines):
+    rows = line_dedup.dedup(spark.createDataFrame(list(enumerate(lines)), DOCS)).collect()
+    return sorted(r["doc_id"] for r in rows if r["text"])
+
+
+def test_characters_decide(spark):
+    a = "the same twelve words as in each other line of this template "
+    urls = [a + "".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=120)) for i in range(2)]
+    assert kept_lines(spark, *urls) == [0, 1]
+
+
 def test_no_lines(spark):
     assert line_dedup.dedup(spark.createDataFrame([], DOCS)).count() == 0
 
