@@ -355,6 +355,31 @@ def test_characters_decide(spark):
     assert kept_lines(spark, *urls) == [0, 1]
 
 
+def test_long_lines_with_many_typos(spark):
+    for n in (100, 130):  # 900 and 1,170 characters
+        w = [x.ljust(8, "q")[:8] for x in words(n, seed=n, vocabulary=10**6)]
+        assert kept_lines(spark, " ".join(w), " ".join("z" + x[1:] if i % 4 == 1 else x for i, x in enumerate(w))) == [0]
+
+
+def test_lines_of_equal_normal_form_are_one_node(spark):
+    assert kept_lines(spark, "a-b c", "a b c", "A\tb, c!") == [0]
+
+
+def test_recall_of_candidates_by_line_length(spark):
+    rng, rows = random.Random(11), []
+    for size in (4, 6, 8, 10, 20, 40):
+        for _ in range(100):
+            w = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 11))) for _ in range(size)]
+            at = rng.randrange(size)
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join([*w[:at], "q" + w[at][1:] + "z", *w[at + 1 :]]))]
+    made = line_dedup.signatures(line_dedup.lines(spark.createDataFrame(rows, DOCS)))
+    keys = {r["doc_id"]: set(r["keys"]) for r in made.select("doc_id", F.array(*line_dedup.block_keys()).alias("keys")).collect()}
+    found = [bool(keys[i] & keys[i + 1]) for i in range(0, len(rows), 2)]
+    shares = [sum(found[i : i + 100]) / 100 for i in range(0, 600, 100)]
+    print("recall by length", shares)
+    assert min(shares) >= 0.75 and min(shares[1:]) >= 0.9
+
+
 def test_no_lines(spark):
     assert line_dedup.dedup(spark.createDataFrame([], DOCS)).count() == 0
 
