@@ -97,6 +97,12 @@ def calendar_gaps(spark, sf_dir):
     return bars.session_gaps(one, 2).withColumn("gap_days", F.col("gap_days").cast("long"))
 
 
+@query
+def calendar_gaps_market(spark, sf_dir):
+    """Gaps of the whole market's trading days."""
+    return bars.session_gaps(_days(spark, sf_dir), 2).withColumn("gap_days", F.col("gap_days").cast("long"))
+
+
 # -- panel
 
 
@@ -347,6 +353,13 @@ def bt_benchmark(spark, sf_dir):
     return backtest.benchmark(m.index, m.index_code, days)
 
 
+@query
+def bt_benchmark_sessions(spark, sf_dir):
+    """The index on all sessions of the back-test."""
+    m, days, _ = _sized(spark, sf_dir)
+    return backtest.benchmark(m.index, m.index_code, days.select("date"))
+
+
 def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, days, rows = _sized(spark, sf_dir)
     return backtest.simulate(m.panel, backtest.weights(rows, days, RULES.hold), RULES)
