@@ -299,6 +299,61 @@ def leakage_controls(spark, sf_dir):
     return model.leakage_controls(_matrix(spark, sf_dir), _ranks(), SPLITTER, "gbt_small")
 
 
+# -- the same over all features, with the production model
+
+
+@query
+def joined_d_all(spark, sf_dir):
+    ranks = features.names()
+    return rounded(_study(spark, sf_dir).select("ticker", "date", "in_universe", "fwd_ret_5", "fwd_rank_5", "label_ok_5", *ranks), 9)
+
+
+@query
+def ic_daily_all(spark, sf_dir):
+    rows = alpha.daily_ic(_study(spark, sf_dir), features.names())
+    return rounded(rows.select("date", "feature", "n", "ic"))
+
+
+@query
+def ic_table_all(spark, sf_dir):
+    return rounded(alpha.ic_table(_study(spark, sf_dir), features.names()))
+
+
+@query
+def ic_decay_all(spark, sf_dir):
+    return rounded(alpha.ic_decay(_study(spark, sf_dir, horizons=HORIZONS), features.names(), HORIZONS))
+
+
+@query
+def corr_matrix_all(spark, sf_dir):
+    return rounded(alpha.correlations(_study(spark, sf_dir), features.names()))
+
+
+def _matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.matrix(_study(spark, sf_dir), features.names())
+
+
+@query
+def train_matrix_all(spark, sf_dir):
+    rows = _study(spark, sf_dir).filter("label_ok_5 and fwd_rank_5 is not null and date >= date'2010-01-01'")
+    return rounded(rows.select("ticker", "date", F.col("fwd_rank_5").alias("y"), F.col("fwd_ret_5").alias("fwd_ret"), *features.names()), 9)
+
+
+@query
+def train_gbt_oos_all(spark, sf_dir):
+    return model.walk_forward(_matrix_all(spark, sf_dir), features.names(), SPLITTER, "gbt").oos
+
+
+@query
+def train_gbt_folds_all(spark, sf_dir):
+    return model.walk_forward(_matrix_all(spark, sf_dir), features.names(), SPLITTER, "gbt").summary(spark)
+
+
+@query
+def leakage_controls_all(spark, sf_dir):
+    return model.leakage_controls(_matrix_all(spark, sf_dir), features.names(), SPLITTER, "gbt")
+
+
 # -- back-test
 
 
