@@ -40,7 +40,6 @@ class ChunkTable:
         self.cuttable = not any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces)
         self.feed = self.sp.encode("\n")
         self.cuttable &= len(self.feed) == 2 and self.sp.decode(self.feed) == "\n"
-        self.odd: dict[str, str] = {}
         self.table = Memo(self._segment, limit)
 
     def _segment(self, chunk: str) -> bytes:
@@ -49,8 +48,6 @@ class ChunkTable:
             ids = self.sp.encode(chunk[1:].replace(MARK, " "))
         else:  # without a word or without a marker: as it stands behind a line feed
             ids = self.sp.encode("\n" + chunk.replace(MARK, " "))[len(self.feed) :]
-        if (said := self.sp.decode([self.feed[-1], *ids])[1:]) != (plain := chunk.replace(MARK, " ")):
-            self.odd[plain] = said
         return b"".join(b"%d," % i for i in ids)
 
     def encode(self, text: str) -> tuple[bytes, str]:
@@ -63,10 +60,7 @@ class ChunkTable:
         marked = MARK + text.replace(" ", MARK)
         chunks = CHUNK.findall(marked)
         coded = b"".join(map(self.table.__getitem__, chunks))
-        if self.odd and any(c.replace(MARK, " ") in self.odd for c in chunks):
-            ids = list(map(int, coded[:-1].split(b",")))
-            return coded, self.sp.decode(ids)
-        return coded, marked.replace(MARK, " ")[1:]
+        return coded, self.sp.decode(list(map(int, coded[:-1].split(b","))))
 
 
 def encode(

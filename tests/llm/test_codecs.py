@@ -45,6 +45,14 @@ def test_pieces_equal_the_library(spark, pieces):
         assert got[i]["decoded_sha256"] == hashlib.sha256(pieces.decode(ids).encode()).hexdigest()
 
 
+def test_the_ids_of_the_text_are_decoded():
+    table = piece_codec.ChunkTable(queries.vocabulary("piece_bpe_32k.model"))
+    assert table.encode("one two three")[1] == "one two three"
+    for chunk in list(table.table):
+        table.table[chunk] = table.table[chunk] * 2  # as if ids were joined wrongly
+    assert table.encode("one two three")[1] != "one two three"
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.one_of(st.sampled_from(" \n▁ab.,é日😀\t\x00<>0x"), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_chunks_equal_the_library(text):
