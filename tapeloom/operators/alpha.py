@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +14,6 @@ from pyspark.sql.window import Window
 from ..functions.windows import corr
 
 LEAST_NAMES = 30
-PAIRS_AT_ONCE = 48
 
 
 def join_labels(features: DataFrame, labels: DataFrame) -> DataFrame:
@@ -63,17 +64,38 @@ def ic_decay(joined: DataFrame, features: Iterable[str], horizons: Iterable[int]
     return rows.groupBy("feature").agg(*[one(h, c).alias(f"{n}_{h}") for h in spans for c, n in (("mean_ic", "ic"), ("ir", "ir"))])
 
 
+def _day_correlations(values: np.ndarray) -> np.ndarray:
+    """Pearson correlations of columns, each over the rows where both are known; NaN where
+    there are none, or either side is constant there."""
+    known = ~np.isnan(values)
+    x = np.where(known, values, 0.0)
+    x = np.where(known, x - x.sum(axis=0) / np.maximum(known.sum(axis=0), 1), 0.0)  # far from 0, sums of squares lose digits
+    m = known.astype(float)
+    n, s, q = m.T @ m, x.T @ m, (x * x).T @ m  # of each pair: rows, and sums over the first's values
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = q - s * s / n
+        least = 1e-20 * n * np.square(np.abs(np.where(known, values, 0.0)).max(axis=0, initial=0.0))[:, None]
+        spread = np.where(spread > least, spread, np.nan)
+        return (x.T @ x - s * s.T / n) / np.sqrt(spread * spread.T)
+
+
 def correlations(joined: DataFrame, features: Iterable[str]) -> DataFrame:
-    """(a, b, corr): mean over days of the correlation across names, for pairs a < b."""
-    pairs = list(combinations(sorted(features), 2))
-    out = None
-    for at in range(0, len(pairs), PAIRS_AT_ONCE):
-        some = pairs[at : at + PAIRS_AT_ONCE]
-        daily = joined.groupBy("date").agg(*[corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(some)])
-        means = daily.agg(*[F.avg(f"p{i}").alias(f"p{i}") for i in range(len(some))])
-        rows = means.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("corr")) for i, (a, b) in enumerate(some)])))
-        out = rows if out is None else out.union(rows)
-    return out
+    """(a, b, corr): mean over days of the correlation across names, for pairs a < b.
+
+    One pass and one shuffle, by date: all pairs of a day come from one matrix of its names,
+    some thousand rows whatever the span; days are then averaged, summed up in tasks first.
+    """
+    names = sorted(features)
+    pairs = list(combinations(range(len(names)), 2))
+
+    def day(table: pa.Table) -> pa.Table:
+        values = np.column_stack([table.column(c).to_numpy().astype(float) for c in names])
+        found = _day_correlations(values)
+        corr_ = [found[i, j] for i, j in pairs]
+        return pa.table({"a": [names[i] for i, _ in pairs], "b": [names[j] for _, j in pairs], "corr": pa.array(corr_, pa.float64(), from_pandas=True)})
+
+    rows = joined.select("date", *[F.col(c).cast("double").alias(c) for c in names])
+    return rows.groupBy("date").applyInArrow(day, "a string, b string, corr double").groupBy("a", "b").agg(F.avg("corr").alias("corr"))
 
 
 def spread(joined: DataFrame, feature: str, horizon: int = 5, buckets: int = 5) -> DataFrame:
