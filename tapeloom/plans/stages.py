@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import alpha, bars, features, labels, panel
 from ..sources import synth
+from ..sources.mirror import materialized
 
 
 @dataclass
@@ -23,6 +24,12 @@ class Market:
     horizons: tuple[int, ...] = labels.HORIZONS
     feature_names: tuple[str, ...] | None = None
 
+    def stored(self, *stages: str) -> Market:
+        """This market, with the named stages written once for all that follows from them."""
+        for name in stages:
+            self.__dict__[name] = materialized(getattr(self, name))
+        return self
+
     @classmethod
     def synthetic(cls, spark: SparkSession, sf_dir: str, **settings) -> Market:
         made = (f(spark, sf_dir) for f in (synth.daily_prices, synth.symbols, synth.index_series, synth.trading_calendar))

@@ -61,6 +61,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/mirror-{uuid.uuid4().hex}"
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """``df``, written to a folder that all executors share and read back: what comes after
+    does not compute it again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def project(df: DataFrame, name: str) -> DataFrame:
     """The columns of table ``name`` that are mirrored, in their types."""
     if name not in SCHEMAS:
