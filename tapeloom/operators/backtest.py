@@ -30,8 +30,8 @@ class Costs:
         return 2 * (self.symmetric_fee + self.slippage)
 
     def breakeven_spread(self, turnover: float) -> float:
-        """What a period must earn, in percent, to pay for replacing such a share."""
-        return 100 * self.round_trip * turnover
+        """What a period must earn to pay for replacing such a share."""
+        return turnover * self.round_trip
 
 
 @dataclass(frozen=True)
@@ -188,6 +188,17 @@ def stats(equity: DataFrame, periods_per_year: int = 252) -> DataFrame:
     )
 
 
+def against_index(curve: DataFrame, index: DataFrame) -> DataFrame:
+    """(name, total_return_pct, cagr_pct) of the strategy and the index, each over the
+    sessions on which it has a value, from the first to the last."""
+    series = curve.filter("scenario = 'tradeable'").select(F.lit("strategy").alias("name"), "date", F.col("equity").alias("value"))
+    series = series.unionByName(index.select(F.lit("index").alias("name"), "date", "value")).filter("value is not null")
+    first, last = F.min_by("value", "date"), F.max_by("value", "date")
+    years = F.datediff(F.max("date"), F.min("date")) / 365.25
+    growth = F.when((years > 0) & (first > 0), 100 * (F.pow(last / first, 1 / years) - 1))
+    return series.groupBy("name").agg((100 * (F.try_divide(last, first) - 1)).alias("total_return_pct"), growth.alias("cagr_pct"))
+
+
 def compare(curve: DataFrame) -> DataFrame:
     """How much of the return comes from fills that nobody could have had."""
     s = stats(curve)

@@ -65,10 +65,11 @@ def trading_days(calendar: DataFrame, index: DataFrame, prices: DataFrame, index
     return marked.union(valued).union(prices.select("date")).distinct()
 
 
-def session_gaps(days: DataFrame, least: int = 5) -> DataFrame:
-    """Steps of at least ``least`` days between sessions.
+def session_gaps(days: DataFrame, least: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """Steps of at least ``least`` days between sessions, of the whole market or each ``by``.
 
-    One row a session, so a single ordered task holds some 10,000 rows a market's life.
+    The market has one row a session, so a single ordered task holds some 10,000 rows a
+    market's life.
     """
-    step = F.datediff("date", F.lag("date").over(Window.partitionBy(F.lit(0)).orderBy("date")))
-    return days.select("date", step.alias("gap_days")).filter(F.col("gap_days") >= least)
+    step = F.datediff("date", F.lag("date").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("date")))
+    return days.select(*by, "date", step.alias("gap_days")).filter(F.col("gap_days") >= least)

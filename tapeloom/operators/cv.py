@@ -61,12 +61,13 @@ class PurgedWalkForward:
 
 
 def describe(rows: DataFrame, folds: list[Fold]) -> DataFrame:
-    """Per fold: first and last test date, rows to train and to test, and the gap in days."""
+    """Per fold: first and last date to train and to test, rows of each, and the gap in days."""
     parts = []
     for f in folds:
         last_train = F.max(F.when(f.trains(), F.col("date")))
         row = {
             "fold": F.lit(f.number).cast("long"),
+            "train_start": F.min(F.when(f.trains(), F.col("date"))),
             "train_end": last_train,
             "test_start": F.lit(f.first),
             "test_end": F.lit(f.last),

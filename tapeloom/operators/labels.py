@@ -51,12 +51,20 @@ def build(panel: DataFrame, horizons: Iterable[int] = HORIZONS, primary: int = P
     return rows.select(*base, *each, *main)
 
 
-def stats(labels: DataFrame, horizon: int = PRIMARY) -> DataFrame:
-    kept = F.col(f"label_ok_{horizon}") & F.col("in_universe")
-    value = F.when(kept, 100 * F.col(f"fwd_ret_{horizon}"))
-    return labels.agg(
-        F.count_if(kept).alias("n_labelled"),
-        F.round(F.avg(value), 3).alias("mean_pct"),
-        F.round(F.stddev_samp(value), 3).alias("sd_pct"),
-        F.count_if(F.col("in_universe") & ~F.coalesce(F.col(f"label_ok_{horizon}"), F.lit(False))).alias("n_unlabelled"),
-    )
+def stats(labels: DataFrame, horizons: Iterable[int] = (PRIMARY,)) -> DataFrame:
+    """Per horizon: universe rows, those with a label and those without, and the mean and
+    deviation of their returns in percent; all from one pass."""
+    each = []
+    for h in sorted(horizons):
+        kept = F.col(f"label_ok_{h}") & F.col("in_universe")
+        value = F.when(kept, 100 * F.col(f"fwd_ret_{h}"))
+        row = {
+            "horizon": F.lit(h).cast("long"),
+            "n_universe": F.count_if(F.col("in_universe")),
+            "n_labelled": F.count_if(kept),
+            "n_unlabelled": F.count_if(F.col("in_universe") & ~F.coalesce(F.col(f"label_ok_{h}"), F.lit(False))),
+            "mean_pct": F.round(F.avg(value), 3),
+            "sd_pct": F.round(F.stddev_samp(value), 3),
+        }
+        each.append(F.struct(*[c.alias(n) for n, c in row.items()]))
+    return labels.agg(F.array(*each).alias("by")).select(F.inline("by"))

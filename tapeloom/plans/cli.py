@@ -7,6 +7,7 @@ import sys
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import alpha, backtest, bars, features, labels, model, panel
 from ..operators.cv import PurgedWalkForward
@@ -58,7 +59,8 @@ class Project:
     def label(self) -> None:
         c = config.load("features")["label"]
         rows = self.save(labels.build(self.load("panel"), c["horizons"], c["horizon"], c["entry_price"]), "labels")
-        self.say(labels.stats(rows, c["horizon"]).first().asDict())
+        for r in labels.stats(rows, c["horizons"]).orderBy("horizon").collect():
+            self.say(f"h={r['horizon']:<3} labelled {r['n_labelled']:,}/{r['n_universe']:,}  mean {r['mean_pct']} %  sd {r['sd_pct']} %")
 
     def features(self) -> None:
         rows = self.save(features.build(self.load("panel")), "features")
@@ -98,9 +100,11 @@ class Project:
         sized = backtest.sized(backtest.picks(preds, days, rules.top_n, rules.every), rows, rules.init_cash, rules.max_adtv_frac)
         curve = backtest.simulate(rows, backtest.weights(sized, days, rules.hold), rules, costs).persist()
         (backtest.compare(curve) if compare else backtest.stats(curve).filter("scenario = 'tradeable'")).show(truncate=False)
-        span = [r["value"] for r in backtest.benchmark(self.table("index_series"), c["benchmark"], days).filter("value is not null").orderBy("date").collect()]
-        if len(span) > 1:
-            self.say(f"{c['benchmark']} {100 * (span[-1] / span[0] - 1):.2f} % over its own {len(span)} sessions, round trip {100 * costs.round_trip:.2f} %")
+        known = backtest.against_index(curve, backtest.benchmark(self.table("index_series"), c["benchmark"], days))
+        for r in known.orderBy(F.desc("name")).collect():
+            growth = "unknown" if r["cagr_pct"] is None else f"{r['cagr_pct']:.2f} %"
+            self.say(f"{c['benchmark'] if r['name'] == 'index' else 'strategy':<12} total {r['total_return_pct']:.2f} %  a year {growth}")
+        self.say(f"round trip {100 * costs.round_trip:.2f} %")
 
     def info(self) -> None:
         made = mirror.load_manifest(self.spark, self.snapshot)
@@ -118,10 +122,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     one.add_argument("--horizon", type=int, default=5)
     one.add_argument("--top", type=int, default=10)
     one = commands.add_parser("train")
-    one.add_argument("--model", default="gbt", choices=sorted(model.MODELS))
+    one.add_argument("--model", default="gbt", choices=sorted({**model.MODELS, **model.LIBRARIES}))
     one.add_argument("--controls", action="store_true")
     one = commands.add_parser("backtest")
-    one.add_argument("--model", default="gbt", choices=sorted(model.MODELS))
+    one.add_argument("--model", default="gbt", choices=sorted({**model.MODELS, **model.LIBRARIES}))
     one.add_argument("--compare", action="store_true")
     args = parser.parse_args(argv)
     project = Project(spark or SparkSession.builder.appName("tapeloom").config("spark.sql.session.timeZone", "UTC").getOrCreate())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ QUERIES: dict[str, Query] = {}
 
 #: Features that are one or two divisions of whole numbers, and so equal in every engine.
 EXACT = ("close_location", "dist_52w_high", "dist_52w_low", "gap", "hl_range", "mom_12_1", "ret_1", "ret_21", "ret_5", "ret_63")
-STUDIED = ("hl_range", "ret_1", "ret_5", "ret_21")
+STUDIED = EXACT
 HORIZONS = (1, 5, 10, 21)
 SPLITTER = PurgedWalkForward(n_splits=3, horizon=5, embargo=5, min_train_days=150)
 RULES = backtest.Settings(top_n=10, every=5, init_cash=1e9, max_adtv_frac=0.10)
@@ -67,7 +68,7 @@ def bands_tick(spark, sf_dir):
 @query
 def bands_ceiling_floor(spark, sf_dir):
     price, venue = F.col("close"), F.col("exchange")
-    return _quotes(spark, sf_dir).select("ticker", "date", bands.ceiling_col(price, venue).alias("ceiling"), bands.floor_col(price, venue).alias("floor"))
+    return _quotes(spark, sf_dir).select("ticker", "date", bands.limit_col(price, venue, up=True).alias("ceiling"), bands.limit_col(price, venue, up=False).alias("floor"))
 
 
 @query
@@ -92,9 +93,9 @@ def calendar_days(spark, sf_dir):
 
 @query
 def calendar_gaps(spark, sf_dir):
-    m = market(spark, sf_dir)  # one name's own sessions, which have gaps
-    one = m.prices.filter("ticker = 'S00001'").select("date")
-    return bars.session_gaps(one, 2).withColumn("gap_days", F.col("gap_days").cast("long"))
+    """Gaps in every name's own sessions."""
+    own = market(spark, sf_dir).prices.select("ticker", "date")
+    return bars.session_gaps(own, 2, by=("ticker",)).withColumn("gap_days", F.col("gap_days").cast("long"))
 
 
 @query
@@ -159,7 +160,7 @@ def labels_rank_h5(spark, sf_dir):
 
 @query
 def labels_stats(spark, sf_dir):
-    return labels.stats(market(spark, sf_dir, horizons=(5,)).labels)
+    return labels.stats(market(spark, sf_dir).labels, HORIZONS)
 
 
 # -- features
@@ -271,10 +272,14 @@ def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.matrix(_study(spark, sf_dir, *STUDIED), _ranks())
 
 
+def _unpacked(rows: DataFrame, names: list[str]) -> DataFrame:
+    values = vector_to_array("features")
+    return rounded(rows.select("ticker", "date", "y", "fwd_ret", *[values[i].alias(n) for i, n in enumerate(names)]), 9)
+
+
 @query
 def train_matrix(spark, sf_dir):
-    rows = _study(spark, sf_dir, *STUDIED).filter("label_ok_5 and fwd_rank_5 is not null and date >= date'2010-01-01'")
-    return rounded(rows.select("ticker", "date", F.col("fwd_rank_5").alias("y"), F.col("fwd_ret_5").alias("fwd_ret"), *_ranks()), 9)
+    return _unpacked(_matrix(spark, sf_dir), _ranks())
 
 
 @query
@@ -335,8 +340,7 @@ def _matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def train_matrix_all(spark, sf_dir):
-    rows = _study(spark, sf_dir).filter("label_ok_5 and fwd_rank_5 is not null and date >= date'2010-01-01'")
-    return rounded(rows.select("ticker", "date", F.col("fwd_rank_5").alias("y"), F.col("fwd_ret_5").alias("fwd_ret"), *features.names()), 9)
+    return _unpacked(_matrix_all(spark, sf_dir), features.names())
 
 
 @query
@@ -358,16 +362,17 @@ def leakage_controls_all(spark, sf_dir):
 
 
 def _signal(spark: SparkSession, sf_dir: str) -> tuple[Market, DataFrame]:
-    m = market(spark, sf_dir, "hl_range", horizons=(5,))
+    """A market and predictions from it, both written once for all steps of the back-test."""
+    m = market(spark, sf_dir, "hl_range", horizons=(5,)).stored("panel")
     rows = m.joined.filter("label_ok_5 and fwd_rank_5 is not null")
-    return m, rows.select("date", "ticker", (-F.col("hl_range_rank")).alias("pred"))
+    return m, snapshots.materialized(rows.select("date", "ticker", (-F.col("hl_range_rank")).alias("pred")))
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> tuple[Market, DataFrame, DataFrame]:
     m, preds = _signal(spark, sf_dir)
-    days = backtest.sessions(m.panel, preds)
+    days = snapshots.materialized(backtest.sessions(m.panel, preds))
     chosen = backtest.picks(preds, days, RULES.top_n, RULES.every)
-    return m, days, backtest.sized(chosen, m.panel, RULES.init_cash, RULES.max_adtv_frac)
+    return m, days, snapshots.materialized(backtest.sized(chosen, m.panel, RULES.init_cash, RULES.max_adtv_frac))
 
 
 @query
@@ -397,19 +402,12 @@ def bt_weights_rebalance(spark, sf_dir):
 @query
 def bt_costs(spark, sf_dir):
     c = backtest.Costs()
-    row = [(c.symmetric_fee, c.round_trip, c.breakeven_spread(0.5))]
+    row = [(c.symmetric_fee, c.round_trip, c.breakeven_spread(0.5))]  # half of the names replaced
     return rounded(spark.createDataFrame(row, "symmetric_fee double, round_trip double, breakeven_spread double"))
 
 
 @query
 def bt_benchmark(spark, sf_dir):
-    m = market(spark, sf_dir)
-    days = m.prices.filter("ticker = 'S00001'").select("date").distinct()
-    return backtest.benchmark(m.index, m.index_code, days)
-
-
-@query
-def bt_benchmark_sessions(spark, sf_dir):
     """The index on all sessions of the back-test."""
     m, days, _ = _sized(spark, sf_dir)
     return backtest.benchmark(m.index, m.index_code, days.select("date"))

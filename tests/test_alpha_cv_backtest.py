@@ -78,7 +78,7 @@ def test_too_short_a_history_is_refused():
 def test_costs():
     c = backtest.Costs()
     assert c.round_trip == pytest.approx(0.006) and c.symmetric_fee == pytest.approx(0.002)
-    assert c.breakeven_spread(0.5) < c.breakeven_spread(0.9)
+    assert c.breakeven_spread(0.5) == pytest.approx(0.003) and c.breakeven_spread(0.5) < c.breakeven_spread(0.9)
 
 
 def test_cagr():

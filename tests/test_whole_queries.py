@@ -20,7 +20,7 @@ def test_gaps_of_the_market(spark, sf_dir):
 
 def test_benchmark_covers_the_sessions_of_the_back_test(spark, sf_dir):
     rebalanced = dates(QUERIES["bt_topn"](spark, sf_dir))
-    covered = dates(QUERIES["bt_benchmark_sessions"](spark, sf_dir))
+    covered = dates(QUERIES["bt_benchmark"](spark, sf_dir))
     assert rebalanced and rebalanced <= covered
 
 
