@@ -174,7 +174,7 @@ def stats(equity: DataFrame, periods_per_year: int = 252) -> DataFrame:
     first, last = F.min_by("equity", "date"), F.max_by("equity", "date")
     years = F.datediff(F.max("date"), F.min("date")) / 365.25
     scale = math.sqrt(periods_per_year)
-    downside = F.sqrt(F.avg(F.pow(F.least("r", F.lit(0.0)), F.lit(2.0))))
+    downside = F.sqrt(F.avg(F.when(F.col("r").isNotNull(), F.pow(F.least("r", F.lit(0.0)), F.lit(2.0)))))  # least() passes nulls over
     return rows.groupBy("scenario").agg(
         F.min("date").alias("first_day"),
         F.max("date").alias("last_day"),
