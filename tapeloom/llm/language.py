@@ -1,14 +1,15 @@
 """Language identification: known words first, character n-grams for the rest.
 
-Training counts words per language over labelled documents and keeps the ``max_words``
-most frequent of each language, and the ``max_grams`` most frequent character n-grams of
-each length. A known word scores by its per-language log frequencies. An unseen word
-falls back to its longest n-grams of which any is known, 5 characters, then 4, down to 1.
-A document's score per language is the sum over all its words.
+Training counts words per language over labelled documents, and the character n-grams of
+each length in them. A known word scores by its per-language log frequencies. An unseen
+word falls back to its longest n-grams of which any is known, 5 characters, then 4, down
+to 1. A document's score per language is the sum over all its words. Words are runs of
+letters.
 
 Training reads at most ``max_rows`` labelled documents, those with the least hashes of
-their ids; so the model has the same size, and its table a proven bound, at any scale.
-The counting is distributed; the driver gets the frequent words only.
+their ids, and keeps all their words and n-grams; so the model's size is bounded by that
+parameter, at any scale. The counting is distributed; the driver gets the counts as arrays,
+and the model is arrays of hashes and log frequencies.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; texts of
 any length are read whole; ties between languages go to the first by name; without any
@@ -17,20 +18,31 @@ labelled row every document is ``und``; repeated rows are judged alike.
 
 from __future__ import annotations
 
-import math
 import re
+import sys
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Memo, small_batches, tidy
+from .common import Memo, release, small_batches, tidy
 
+
+def _class(chars: list[int]) -> str:
+    """A regular expression's class of code points in ascending order, as ranges."""
+    breaks = [i for i in range(len(chars)) if not i or chars[i] != chars[i - 1] + 1]
+    return "".join(f"{re.escape(chr(chars[a]))}-{re.escape(chr(chars[b - 1]))}" for a, b in zip(breaks, [*breaks[1:], len(chars)], strict=True))
+
+
+#: Words as the text is read, quickly; LETTERS cuts each distinct one into runs of letters,
+#: as numerals like a superscript two count among the word characters that are no digits.
 WORD = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(rf"[^\W_{_class([c for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha()])}]+")
 LONGEST = 5
 UNKNOWN = "und"
 
@@ -40,6 +52,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def key_of(gram: str) -> int:
+    """What Spark's xxhash64() makes of a string."""
+    value = xxhash.xxh64_intdigest(gram.encode("utf-8", "surrogatepass"), 42)
+    return value - 2**64 if value >> 63 else value
+
+
 def grams(word: str, n: int) -> list[str]:
     marked = f"<{word}>" if n > 1 else word
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
@@ -49,8 +67,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, Counter] = {}
 
     def out() -> pa.RecordBatch:
-        rows = [(lang, 0, w, n) for lang, c in counts.items() for w, n in c.items()]
-        for lang, c in counts.items():
+        rows = []
+        for lang, read in counts.items():
+            c: Counter = Counter()
+            for w, n in read.items():
+                for run in LETTERS.findall(w):
+                    c[run] += n
+            rows += [(lang, 0, w, n) for w, n in c.items()]
             for size in range(1, LONGEST + 1):
                 found: Counter = Counter()
                 for w, n in c.items():
@@ -72,27 +95,40 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies of words (size 0) and n-grams (sizes 1 to 5) per language."""
-
-    def __init__(self, rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
-        self.langs = sorted({lang for lang, _ in totals})
-        place = {lang: i for i, lang in enumerate(self.langs)}
-        seen: list[dict[str, list[int]]] = [{} for _ in range(LONGEST + 1)]
-        for lang, size, gram, n in rows:
-            seen[size].setdefault(gram, [0] * len(self.langs))[place[lang]] = n
-        self.tables: list[dict[str, tuple[float, ...]]] = []
-        for size, table in enumerate(seen):
-            whole = [math.log(totals.get((lang, size), 0) + 0.5 * (len(table) + 1)) for lang in self.langs]
-            self.tables.append({g: tuple(math.log(n + 0.5) - t for n, t in zip(ns, whole, strict=True)) for g, ns in table.items()})
-
-    def word(self, word: str) -> tuple[float, ...]:
-        if (known := self.tables[0].get(word)) is not None:
-            return known
+    """Log frequencies of words (size 0) and n-grams (sizes 1 to 5) per language.
+
+    Of each count: ``lang``, a place in ``langs``, which are in order of name; ``size``;
+    ``key``, the gram's hash; and ``n``. A table is the hashes in ascending order and a row
+    of log frequencies for each.
+    """
+
+    def __init__(self, langs: list[str], lang: np.ndarray, size: np.ndarray, key: np.ndarray, n: np.ndarray):
+        self.name, self.langs = uuid.uuid4().hex, langs
+        at, keys = np.asarray(lang, np.int64), np.asarray(key, np.int64)
+        size, n = np.asarray(size), np.asarray(n, np.float64)
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in range(LONGEST + 1):
+            own = size == k
+            distinct, row = np.unique(keys[own], return_inverse=True)
+            counts = np.zeros((len(distinct), len(self.langs)))
+            np.add.at(counts, (row, at[own]), n[own])
+            self.tables.append((distinct, (np.log(counts + 0.5) - np.log(counts.sum(axis=0) + 0.5 * (len(distinct) + 1))).astype(np.float32)))
+
+    def known(self, size: int, grams: list[str]) -> np.ndarray:
+        """A row for each of ``grams`` that the table of their size has."""
+        keys, values = self.tables[size]
+        wanted = np.fromiter(map(key_of, grams), np.int64, len(grams))
+        at = np.searchsorted(keys, wanted)
+        at[at == len(keys)] = 0
+        return values[at[keys[at] == wanted]] if len(keys) else values[:0]
+
+    def word(self, word: str) -> np.ndarray:
+        if len(found := self.known(0, [word])):
+            return found[0].astype(float)
         for size in range(LONGEST, 0, -1):
-            found = [v for g in grams(word, size) if (v := self.tables[size].get(g)) is not None]
-            if found:
-                return tuple(sum(x) / len(found) for x in zip(*found, strict=True))
-        return (0.0,) * len(self.langs)
+            if len(found := self.known(size, grams(word, size))):
+                return found.mean(axis=0, dtype=float)
+        return np.zeros(len(self.langs))
 
 
 class Scorer:
@@ -100,12 +136,14 @@ class Scorer:
 
     def __init__(self, model: Model, limit: int = 200_000):
         self.model, self.limit = model, limit
-        self.rows = np.zeros((limit, max(1, len(model.langs))))
+        self.rows = np.zeros((limit + 1, max(1, len(model.langs))))
         self.table = Memo(self._row, limit, longest=64)
-        self.n = 0
+        self.n = 1  # row 0 is that of words without a letter
 
     def _row(self, word: str) -> int:
-        self.rows[self.n] = self.model.word(word)
+        if not (runs := LETTERS.findall(word)):
+            return 0
+        self.rows[self.n] = sum(self.model.word(run) for run in runs)
         self.n += 1
         return self.n - 1
 
@@ -113,33 +151,51 @@ class Scorer:
         words = WORD.findall(text.lower()) if text else []
         if not words or not self.model.langs:
             return UNKNOWN, 0.0
-        total = np.zeros(self.rows.shape[1])
+        total, n = np.zeros(self.rows.shape[1]), 0
         for a in range(0, len(words), 10_000):  # so that the table can be emptied between
             part = words[a : a + 10_000]
             if self.n + len(part) > self.limit:
                 self.table.clear()
-                self.n = 0
+                self.n = 1
             at = np.fromiter(map(self.table.__getitem__, part), np.int64, len(part))
-            total += np.bincount(at, minlength=self.n).astype(float)[: self.n] @ self.rows[: self.n] if len(part) > 2000 else self.rows[at].sum(axis=0)
+            total += self.rows[at].sum(axis=0)
+            n += np.count_nonzero(at)
+        if not n:
+            return UNKNOWN, 0.0
         best = int(np.argmax(total))
         # how sure: the softmax of the mean over words, sharper with more of them up to 30
-        mean = (total - total[best]) / len(words) * min(len(words), 30)
+        mean = (total - total[best]) / n * min(n, 30)
         return self.model.langs[best], float(round(1 / np.exp(mean).sum(), 6))
 
 
-def train(docs: DataFrame, max_rows: int = 20_000, max_words: int = 30_000, max_grams: int = 5_000) -> Model:
+def train(docs: DataFrame, max_rows: int = 20_000) -> Model:
     """A model from ``text`` and ``lang`` of the documents that are not held out."""
     small_batches(docs.sparkSession)
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     ids = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).distinct()
     rows = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
     counts = rows.mapInArrow(tidy(_count), "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    ranked = counts.withColumn("total", F.sum("n").over(Window.partitionBy("lang", "size"))).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram"))
-    )
-    kept = ranked.filter(F.col("rank") <= F.when(F.col("size") == 0, max_words).otherwise(max_grams)).collect()
-    totals = {(r["lang"], r["size"]): r["total"] for r in kept}
-    return Model([(r["lang"], r["size"], r["gram"], r["n"]) for r in kept], totals)
+    found = counts.select("lang", "size", F.xxhash64("gram").alias("key"), "n").toArrow()
+    coded = found["lang"].combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    langs = sorted(names)
+    place = np.array([langs.index(x) for x in names], np.int64)
+    lang = place[coded.indices.to_numpy()] if names else np.zeros(0, np.int64)
+    model = Model(langs, lang, *(found[c].to_numpy() for c in ("size", "key", "n")))
+    del found, coded, lang
+    release(docs.sparkSession)
+    return model
+
+
+#: The last scorer of this Python worker, kept for the tasks that follow.
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer(model: Model) -> Scorer:
+    if model.name not in _scorers:
+        _scorers.clear()
+        _scorers[model.name] = Scorer(model)
+    return _scorers[model.name]
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -150,7 +206,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(shared.value)
+        score = scorer(shared.value)
         for batch in batches:
             said = [score(text) for text in batch.column(batch.num_columns - 1).to_pylist()]
             made = [pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
@@ -165,7 +221,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(shared.value)
+        score = scorer(shared.value)
         for batch in batches:
             yield batch.filter(pa.array([score(text)[0] != UNKNOWN for text in batch.column(at).to_pylist()], pa.bool_()))
 
