@@ -6,7 +6,7 @@ multisets of paragraphs have equal fingerprints in whatever order, and adding or
 subtracting a paragraph's vector inserts or deletes it.
 
 Two parts: ``EXACT`` lanes of 32 uniform bits, from whole paragraphs, decide equality.
-``LIKE`` lanes of 16 bits sum +1 or -1 from runs of ``RUN`` words of each paragraph. The
+``LIKE`` lanes of 32 bits sum +1 or -1 from runs of ``RUN`` words of each paragraph. The
 square of a difference of two such sums estimates how many runs are not shared, so
 likeness = 1 - |a - b|^2 / (|a|^2 + |b|^2), cut to 0..1, estimates the shared part without
 the texts; its standard error is about sqrt(2 / LIKE).
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import shards, small_batches, text_or_empty, tidy
 
 EXACT, LIKE, RUN = 32, 256, 8
+#: Documents in one range of ids, as long as there are ranges enough to go round.
+RANGE = 5_000
 PIECES = re.compile(r"(?:\S+\s*){1,%d}" % RUN)
 LEAST = -(2**63)
 
@@ -60,9 +62,9 @@ def _sums(vectors: np.ndarray, counts: list[int], kind) -> np.ndarray:
 
 
 def vectors(texts: list[str], block: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """EXACT lanes (uint32) and LIKE lanes (int16) of each text."""
+    """EXACT lanes (uint32) and LIKE lanes (int32) of each text."""
     exact = np.zeros((len(texts), EXACT), np.uint32)
-    like = np.zeros((len(texts), LIKE), np.int16)
+    like = np.zeros((len(texts), LIKE), np.int32)
     whole, runs, n_whole, n_runs, first = [], [], [], [], 0
 
     def flush(last: int) -> None:
@@ -71,7 +73,7 @@ def vectors(texts: list[str], block: int = 20_000) -> tuple[np.ndarray, np.ndarr
             exact[first:last] = _sums(lanes, n_whole, np.uint32)
             bits = np.unpackbits(_words64(np.array(runs, np.uint64), LIKE // 64).view(np.uint8), axis=1)
             ones = _sums(bits, n_runs, np.int64)
-            like[first:last] = (2 * ones - np.array(n_runs)[:, None]).astype(np.int16)
+            like[first:last] = (2 * ones - np.array(n_runs)[:, None]).astype(np.int32)
 
     for i, text in enumerate(texts):
         paragraphs = text.split("\n") if text else []
@@ -89,12 +91,12 @@ def vectors(texts: list[str], block: int = 20_000) -> tuple[np.ndarray, np.ndarr
 
 
 def encoded(exact: np.ndarray, like: np.ndarray) -> list[str]:
-    return [base64.b64encode(e.astype("<u4").tobytes() + k.astype("<i2").tobytes()).decode() for e, k in zip(exact, like, strict=True)]
+    return [base64.b64encode(e.astype("<u4").tobytes() + k.astype("<i4").tobytes()).decode() for e, k in zip(exact, like, strict=True)]
 
 
 def decoded(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     data = base64.b64decode(fingerprint)
-    return np.frombuffer(data, "<u4", EXACT), np.frombuffer(data, "<i2", LIKE, 4 * EXACT)
+    return np.frombuffer(data, "<u4", EXACT), np.frombuffer(data, "<i4", LIKE, 4 * EXACT)
 
 
 def fingerprint(text: str | None) -> str:
@@ -143,7 +145,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    firsts = np.array(_firsts(docs, shards(spark)), np.int64)
+    parts = max(shards(spark), -(-docs.count() // RANGE))
+    firsts = np.array(_firsts(docs, parts), np.int64)
     n = len(firsts)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +162,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     names = ["shard", "carry", "k", "doc_id", "text"]
     source = docs.select(F.coalesce(F.col("doc_id"), F.lit(LEAST)).alias("k"), "doc_id", text_or_empty().alias("text"))
     dealt = source.mapInArrow(tidy(deal), "shard long, carry boolean, k long, doc_id long, text string")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "shard").sortWithinPartitions("shard", "carry", F.desc("k"), "text")
+    return dealt.repartition(max(n, 1), "shard").sortWithinPartitions("shard", "carry", F.desc("k"), "text")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
