@@ -4,8 +4,9 @@ A piece of the model never holds a white-space marker after another character, a
 never a line feed, so no merge crosses the end of a marked word or a line end. Text
 can therefore be cut into chunks, each distinct chunk segmented once, and the ids
 joined back by position; the result equals a whole-text call of the library.
-The table lives in each Python worker and is bounded: at scale a shuffled table of
-all distinct words of a corpus would move more bytes than the words it saves.
+The table lives in each Python worker, for all its tasks, and is bounded: at scale a
+shuffled table of all distinct words of a corpus would move more bytes than the words it
+saves. What is decoded are the ids of the whole document.
 
 Defined results: null text counts as empty and has no ids; texts of any length are
 cut the same way; chunks over 64 characters are segmented each time they occur;
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +65,12 @@ class ChunkTable:
         return coded, self.sp.decode(list(map(int, coded[:-1].split(b","))))
 
 
+@cache
+def table_of(model_path: str) -> ChunkTable:
+    """One table of chunks in each Python worker for all its tasks."""
+    return ChunkTable(model_path)
+
+
 def encode(
     docs: DataFrame, model_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False
 ) -> DataFrame:
@@ -77,7 +85,7 @@ def encode(
     schema += ", ids array<int>" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(model_path)
+        table = table_of(model_path)
         for batch in batches:
             n, ids_sha, text_sha, ids = [], [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
