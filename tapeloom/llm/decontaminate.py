@@ -6,30 +6,38 @@ each word. A match of at least ``WINDOW`` words marks the last ``WINDOW`` as hit
 automaton's state says which items hold that window; an item with fewer words is one
 window of its own length.
 
-A benchmark is a stated query set. One automaton holds at most ``BLOCK_WORDS`` words of
-it; a larger benchmark goes in blocks, one automaton each, and the blocks' hit positions
-are merged by document.
+A benchmark is a stated query set. One automaton holds at most some ``BLOCK_WORDS`` words
+of it. A larger benchmark goes in blocks: for each in turn an automaton is built, sent, run
+over all texts in a pass of its own and given up, so no worker ever holds two; the passes'
+hits, which are few, are merged by document.
+
+``clean`` removes what is over the limits: documents of which hit words are a twentieth or
+more go, and the others lose the spans of their hits.
 
 Words are maximal runs of digits, letters a-z (after lower-casing A-Z) and characters
 beyond ASCII. Null and empty texts have no words and are clean; items without words match
 nothing; repeated rows are judged each on its own; equal items all count; null item_ids
 are hit like others but not named. Empty tables give empty results, or clean documents.
+Where a kept column is called like one of the results, the result takes its place.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import small_batches, tidy
+from .common import Workspace, materialize, small_batches, tidy
 
 WINDOW = 13
-#: Words of the benchmark in one automaton: some hundred MB of Python objects at most.
-BLOCK_WORDS = 500_000
+#: Words of the benchmark in one automaton: a hundred MB of Python objects or so.
+BLOCK_WORDS = 200_000
 
 _KEEP = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(0x80, 0x100))
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _KEEP else 0x20 for c in range(256))
@@ -186,6 +194,75 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_
         yield SuffixAutomaton(held, window)
 
 
+SPANS, ITEMS = pa.list_(pa.list_(pa.int32())), pa.list_(pa.string())
+
+
+def _hits(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    """``rows`` (the last column is text) with the spans and items of one automaton."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shared.value
+        for batch in batches:
+            found = [automaton.scan(words_of(text)) for text in batch.column(batch.num_columns - 1).to_pylist()]
+            spans = pa.array([[list(s) for s in x] for x, _ in found], SPANS)
+            items = pa.array([sorted({automaton.names[k] for k in y}, key=str) for _, y in found], ITEMS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, spans, items], names=[*batch.schema.names, "spans", "items"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(tidy(run), f"{schema}, spans array<array<int>>, items array<string>")
+
+
+def _marked(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """``rows`` (kept, text) with spans and items of the whole benchmark."""
+    spark = rows.sparkSession
+    small_batches(spark)
+    automata = blocks(benchmark, window)
+    some = [a for a in (next(automata, None), next(automata, None)) if a]
+    if not some:
+        return rows.withColumns({"spans": F.array().cast("array<array<int>>"), "items": F.array().cast("array<string>")})
+    if len(some) == 1:
+        return _hits(rows, spark.sparkContext.broadcast(some[0]))
+    with Workspace(spark) as work:
+        texts = materialize(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "texts")
+        hits = None
+        for automaton in chain((some.pop(0), some.pop(0)), automata):
+            with Workspace(spark) as turn:
+                one = turn.keep(_hits(texts.select("row", "text"), turn.share(automaton)).filter("size(spans) > 0").drop("text"), "hits")
+            hits = one if hits is None else hits.unionByName(one)
+        met = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        whole = texts.join(met, "row", "left")
+        none = {"spans": F.coalesce("spans", F.array().cast("array<array<int>>")), "items": F.coalesce("items", F.array().cast("array<string>"))}
+        return work.keep(whole.withColumns(none).select("kept", "text", "spans", "items"))
+
+
+def _judged(rows: DataFrame, benchmark: DataFrame, window: int, share: float, with_text: bool) -> DataFrame:
+    """kept and the columns of scan()."""
+    parts = round(1 / share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for text, spans, items in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                merged: list[tuple[int, int]] = []
+                for a, b in sorted(spans, key=lambda s: s[1]):
+                    _add(merged, a, b)
+                n, hit = len(words_of(text)), sum(b - a for a, b in merged)
+                said = ",".join(sorted(x for x in items if x is not None))
+                row = [n, hit, len(items), hashlib.sha256(said.encode()).hexdigest(), hit > 0 and parts * hit >= n, [list(s) for s in merged]]
+                told.append([*row, without(text, merged)] if with_text else row)
+            made = [pa.array([r[i] for r in told], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["kept", *names])
+
+    names = [*RESULT, "cleaned"] if with_text else list(RESULT)
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), SPANS, pa.string()][: len(names)]
+    kinds = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<int>>" + ", cleaned string" * with_text
+    marked = _marked(rows, benchmark, window)
+    return marked.mapInArrow(tidy(run), f"kept {rows.schema['kept'].dataType.simpleString()}, {kinds}")
+
+
+RESULT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+
+
 def scan(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -199,66 +276,19 @@ def scan(
     ``contaminated`` where hit words are at least ``share`` of all. ``with_text`` adds
     cleaned, the text without the characters from the first to the last word of each span.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    automata = [spark.sparkContext.broadcast(a) for a in blocks(benchmark, window)]
-    source = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
-    schema += ", n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<int>>"
-    schema += ", cleaned string" if with_text else ""
-    parts = round(1 / share)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                words, spans, names = words_of(text), [], set()
-                for automaton in automata:
-                    found, items = automaton.value.scan(words)
-                    names.update(automaton.value.names[k] for k in items)
-                    spans += found
-                if len(automata) > 1:
-                    merged: list[tuple[int, int]] = []
-                    for a, b in sorted(spans, key=lambda s: s[1]):
-                        _add(merged, a, b)
-                    spans = merged
-                hit = sum(b - a for a, b in spans)
-                said = ",".join(sorted(x for x in names if x is not None))
-                bad = hit > 0 and parts * hit >= len(words)
-                row = [len(words), hit, len(names), hashlib.sha256(said.encode()).hexdigest(), bad, [list(s) for s in spans]]
-                rows.append([*row, without(text, spans)] if with_text else row)
-            made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *names_out])
-
-    names_out = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.list_(pa.int32()))]
-    if with_text:
-        names_out, types = [*names_out, "cleaned"], [*types, pa.string()]
-    return source.mapInArrow(tidy(run), schema)
+    rows = _judged(docs.select(F.struct(*keep).alias("kept"), "text"), benchmark, window, share, with_text)
+    own = rows.columns[1:]
+    return rows.select(*[F.col("kept")[k].alias(k) for k in keep if k not in own], *own)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05) -> DataFrame:
-    """``docs`` without the contaminated ones; columns and the other texts as they are."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    automata = [spark.sparkContext.broadcast(a) for a in blocks(benchmark, window)]
-    at, parts = docs.columns.index("text"), round(1 / share)
-
-    def fine(text: str | None) -> bool:
-        words, spans = words_of(text), []
-        for automaton in automata:
-            spans += automaton.value.scan(words)[0]
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(spans, key=lambda s: s[1]):
-            _add(merged, a, b)
-        hit = sum(b - a for a, b in merged)
-        return not hit or parts * hit < len(words)
+    """``docs`` without the contaminated ones; the others' texts without the spans of hits.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([fine(text) for text in batch.column(at).to_pylist()], pa.bool_()))
-
-    return docs.mapInArrow(tidy(run), docs.schema)
+    Columns and texts without hits stay as they are.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    rows = _judged(docs.select(F.struct(*rest).alias("kept"), "text"), benchmark, window, share, with_text=True).filter("not contaminated")
+    return rows.select(*[F.col("cleaned").alias("text") if c == "text" else F.col("kept")[c].alias(c) for c in docs.columns])
 
 
 def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
