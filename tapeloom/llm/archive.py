@@ -2,7 +2,9 @@
 
 Writing: a page is one WARC record; a payload of more than ``chunk`` characters is cut
 into numbered chunks, which the format calls segments: the record, then continuation
-records that name its id. Chunk rows go through Spark's text writer, whose separator is
+records that name its id. Payloads are cut where they are read, in one pass that goes on
+with a digest from chunk to chunk; from there on rows hold a chunk each, also where equal
+payloads are found. Chunk rows go through Spark's text writer, whose separator is
 the blank line pair that ends every WARC record, so archives are plain WARC files,
 compressed whole, on any store, and a lost executor leaves no half archive.
 
@@ -29,44 +31,76 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, text_or_empty
+from .common import Workspace, scratch, small_batches, text_or_empty, tidy
 
 CRLF, END = "\r\n", "\r\n\r\n"
 CHUNK = 1 << 20
+#: Characters of the chunks that go on from Python at a time.
+HELD = 1 << 22
 #: A page with the payload of many others is dealt to so many places.
 SALTS = 32
 
 
-def base32_sha1(payload: Column) -> Column:
-    """The SHA-1 of a string in upper-case base32: 40 bits are 8 digits, four times."""
-    digest = F.sha1(payload.cast("binary"))
-    digits = [F.lpad(F.conv(F.substring(digest, 1 + 10 * i, 10), 16, 32), 8, "0") for i in range(4)]
-    return F.translate(F.concat(*digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+def cut(pages: DataFrame, chunk: int = CHUNK, pieces: bool = True) -> DataFrame:
+    """The chunked record table of pages: row (a number for each page), page_id, url, k, piece
+    (text of the chunk), chunks and the payload's bytes and digest; without ``pieces`` the
+    first chunk's row, bare."""
+    small_batches(pages.sparkSession)
 
+    def parts(text: str) -> Iterator[str]:
+        return (text[a : a + chunk] for a in range(0, max(len(text), 1), chunk))
 
-def with_originals(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Pages with payload, payload_bytes, payload_digest and refers_to (null: a response)."""
-    base = pages.select("page_id", "url", text_or_empty("html").alias("payload"))
-    base = base.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
-    groups = base.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for i in range(batch.num_rows):
+                *page, text = (batch.column(c)[i].as_py() for c in range(4))
+                sha, size, n = hashlib.sha1(), 0, 0
+                for piece in parts(text):  # from chunk to chunk, never the whole payload in bytes
+                    data = piece.encode()
+                    sha.update(data)
+                    size, n = size + len(data), n + 1
+                told = n, size, base64.b32encode(sha.digest()).decode()
+                for k, piece in enumerate(parts(text) if pieces else [None]):
+                    rows.append((*page, k + 1, piece, *told))
+                    held += len(piece or "")
+                    if held >= HELD:
+                        yield made(rows)
+                        rows, held = [], 0
+            if rows:
+                yield made(rows)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    names = ["row", "page_id", "url", "k", "piece", "chunks", "payload_bytes", "payload_digest"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.string()]
+    source = pages.select(F.monotonically_increasing_id(), F.col("page_id").cast("long"), F.col("url").cast("string"), text_or_empty("html").alias("html"))
+    return source.mapInArrow(tidy(run), "row long, page_id long, url string, k int, piece string, chunks int, payload_bytes long, payload_digest string")
+
+
+def with_originals(pages: DataFrame, chunk: int = CHUNK, least: int = 0) -> DataFrame:
+    """Rows of :func:`cut` with refers_to (null: a response); a revisit has one, without text.
+
+    All chunks of a page stand together, in order: they come out of one task and go to one.
+    """
+    groups = cut(pages.withColumn("url", F.lit(None)), chunk, pieces=False).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n"))
     shared = groups.filter((F.col("n") > 1) & (F.col("payload_bytes") >= least) & F.col("original").isNotNull())
     salted = shared.select(
         F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"), "original", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s")
     )
-    base = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    rows = cut(pages, chunk).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     at = (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")) & (F.col("salt") == F.col("s"))
-    joined = base.join(salted, at, "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original"))
-    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", refers.alias("refers_to"))
+    joined = rows.join(salted, at, "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original")))
+    revisit = F.col("refers_to").isNotNull()
+    joined = joined.filter(~revisit | (F.col("k") == 1))
+    joined = joined.sortWithinPartitions("row", "k")
+    return joined.withColumns({"piece": F.when(revisit, F.lit("")).otherwise(F.col("piece")), "chunks": F.when(revisit, F.lit(1)).otherwise(F.col("chunks"))})
 
 
 def write(pages: DataFrame, path: str, chunk: int = CHUNK, least: int = 0) -> None:
     """Write archives of ``pages`` (page_id, url, html) under ``path``."""
-    rows = with_originals(pages, least)
-    text = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(""))
-    n = F.greatest(F.ceil(F.length(text) / F.lit(chunk)), F.lit(1)).cast("int")
-    rows = rows.withColumn("chunks", n).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("chunks"))))
-    piece = F.when(F.col("chunks") == 1, text).otherwise(F.substring(text, (F.col("k") - 1) * chunk + 1, F.lit(chunk)))
+    rows, piece = with_originals(pages, chunk, least), F.col("piece")
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     revisit, first = F.col("refers_to").isNotNull(), F.col("k") == 1
@@ -178,7 +212,7 @@ def read(spark: SparkSession, path: str, chunk: int = CHUNK, with_payload: bool
     page_id, chunk_no, last, payload (of the chunk), payload_bytes and payload_digest (up to
     and with this chunk; of the full payload in the last), record_type, refers_to, url.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    small_batches(spark)
     lines = spark.read.schema("value string").option("lineSep", "\n").text(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,11 +232,15 @@ def read(spark: SparkSession, path: str, chunk: int = CHUNK, with_payload: bool
 
 
 def round_trip(pages: DataFrame, path: str | None = None, chunk: int = CHUNK, least: int = 0) -> DataFrame:
-    """Write ``pages`` to archives, read them back, and describe each record."""
-    path = path or scratch(pages.sparkSession, "warc")
-    write(pages, path, chunk, least)
-    whole = read(pages.sparkSession, path, chunk, with_payload=False).filter("last")
-    return whole.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Write ``pages`` to archives, read them back, and describe each record.
+
+    Without a ``path`` the archives are only there in between.
+    """
+    with Workspace(pages.sparkSession) as work:
+        files = path or work.own(scratch(pages.sparkSession, "warc"))
+        write(pages, files, chunk, least)
+        whole = read(pages.sparkSession, files, chunk, with_payload=False).filter("last")
+        return work.keep(whole.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 def sql(least: int = 0) -> str:
