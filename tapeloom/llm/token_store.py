@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, scratch, small_batches, text_or_empty, tidy
+from .common import Memo, Workspace, scratch, small_batches, text_or_empty, tidy
 
 SEGMENT = 1 << 18
 BLOCK = 512
@@ -197,7 +197,7 @@ SCHEMA = "shard int, segment int, first long, n_ids long, doc_ids array<long>, s
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Documents of the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids."""
     segments = spark.read.schema(SCHEMA).parquet(path)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    small_batches(spark)
     # one row per shard, and as many shards as the range exchange had partitions
     sums = sorted((r["shard"], r["n"]) for r in segments.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
     starts, at = [], 0
@@ -229,7 +229,11 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
 
 
 def store(docs: DataFrame, tokenizer_path: str, end_id: int = 1, path: str | None = None) -> DataFrame:
-    """Write ``docs`` to token files and return what reading them back gives."""
-    path = path or scratch(docs.sparkSession, "tokens")
-    write(docs, tokenizer_path, path, end_id)
-    return read(docs.sparkSession, path)
+    """Write ``docs`` to token files and return what reading them back gives.
+
+    Without a ``path`` the files are only there in between.
+    """
+    with Workspace(docs.sparkSession) as work:
+        files = path or work.own(scratch(docs.sparkSession, "tokens"))
+        write(docs, tokenizer_path, files, end_id)
+        return work.keep(read(docs.sparkSession, files))
