@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, small_batches
+from .common import Workspace, materialize, small_batches
 
 START, STOP = "<|im_start|>", "<|im_end|>"
 #: The control strings of common templates, which texts must not contain bare.
@@ -94,7 +94,8 @@ def paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
 def format_paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
     """One conversation per chosen path: tree, leaf, rank, formatted, loss (spans of characters)."""
     rows = paths(nodes, top).join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
-    head = F.concat(F.lit(START), escape(F.col("role")), F.lit("\n"))
+    role = F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\\n"))  # a line feed would end it
+    head = F.concat(F.lit(START), role, F.lit("\n"))
     body = escape(F.col("text"))
     rows = rows.select("tree", "leaf", "rank", "depth", "role", head.alias("head"), body.alias("body"))
     rows = rows.withColumn("size", (F.length("head") + F.length("body") + len(STOP) + 1).cast("long"))
@@ -144,8 +145,9 @@ def read_back(conversations: DataFrame) -> DataFrame:
 
 def round_trip(spark: SparkSession, turns: DataFrame) -> DataFrame:
     """Format linear conversations, write the output, and read it back."""
-    nodes = materialize(trees(turns), "nodes")
-    return read_back(materialize(format_paths(nodes, top=1), "chat"))
+    with Workspace(spark) as work:
+        nodes = materialize(trees(turns), "nodes")
+        return work.keep(read_back(materialize(format_paths(nodes, top=1), "chat")))
 
 
 def sql(extra: list[tuple[int, int, str, str]]) -> str:
@@ -165,5 +167,5 @@ def sql(extra: list[tuple[int, int, str, str]]) -> str:
         WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL {rows})
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' {order})) AS turns_sha256,
             length({masked}) AS loss_chars, sha256({masked}) AS loss_sha256,
-            CAST(sum(length({escaped("role")}) + length({escaped("text")}) + {len(START) + len(STOP) + 2}) AS BIGINT) AS formatted_chars
+            CAST(sum(length(replace({escaped("role")}, chr(10), chr(92) || chr(10))) + length({escaped("text")}) + {len(START) + len(STOP) + 2}) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id"""
