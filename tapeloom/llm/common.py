@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import ClassVar
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the number of documents that a Python worker holds at a time."""
+    """Bound the number of rows that a Python worker holds at a time.
+
+    All operators set the same bound, and leave it set: results are lazy, so it has to
+    hold when they are computed.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
@@ -60,6 +65,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Give up what is done with. Spark drops broadcasts and shuffle files of plans that are no
+    longer referred to only when the driver collects garbage, which it does late by itself."""
+    gc.collect()
+    spark._jvm.System.gc()
+    _trim()
+
+
+def _trim() -> None:
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` for mapInArrow, giving memory back to the system at the end of each task.
 
@@ -70,14 +88,14 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     def wrapped(batches: Iterator) -> Iterator:
         yield from run(batches)
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        _trim()
 
     return wrapped
 
 
 class Workspace:
-    """Tables written on the way to a result; all but those kept go when it ends.
+    """Tables written on the way to a result, and broadcasts; all but the tables kept go
+    when it ends.
 
         with Workspace(spark) as work:
             ...  # any materialize() in here
@@ -85,14 +103,28 @@ class Workspace:
     """
 
     open: ClassVar[list[Workspace]] = []
+    #: Characters of a plan's text; Spark keeps those of the last 1,000 plans in the driver.
+    TEXT: ClassVar[tuple[str, str]] = ("spark.sql.maxPlanStringLength", "4000")
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.shared = spark, [], []
 
     def __enter__(self) -> Workspace:
         Workspace.open.append(self)
+        self.before = self.spark.conf.get(self.TEXT[0], None)
+        self.spark.conf.set(*self.TEXT)
         return self
 
+    def own(self, path: str) -> str:
+        """``path``, to be deleted with this workspace."""
+        self.paths.append(path)
+        return path
+
+    def share(self, value) -> Broadcast:
+        """A broadcast of ``value`` that ends with this workspace."""
+        self.shared.append(self.spark.sparkContext.broadcast(value))
+        return self.shared[-1]
+
     def keep(self, df: DataFrame, tag: str = "result") -> DataFrame:
         """Write ``df`` where it outlives this workspace, but not the one around it."""
         out = materialize(df, tag)
@@ -103,9 +135,21 @@ class Workspace:
 
     def __exit__(self, *_) -> None:
         Workspace.open.remove(self)
-        for p in self.paths:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if self.before is None:
+            self.spark.conf.unset(self.TEXT[0])
+        else:
+            self.spark.conf.set(self.TEXT[0], self.before)
+        for sent in self.shared:
+            sent.destroy()
+        for path in self.paths:
+            delete(self.spark, path)
+        release(self.spark)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table or folder, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shards(spark: SparkSession, times: int = 4) -> int:

@@ -1,7 +1,8 @@
 """Classes within candidate buckets, and connected components, as DataFrame joins.
 
-No bucket is ever collected: its members are compared with hubs of its own, and only pairs
-of members in different classes are, as long as there are such.
+No bucket is ever collected, and none is expanded into all its pairs: its members are
+compared with a few hubs, buckets of at most ``CROWD`` members that still hold several
+classes pair by pair, and larger ones are split by more keys or taken hub by hub.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from pyspark.sql.window import Window
 
 from .common import Workspace, materialize
 
-#: Hubs that each member is compared with at first, one at a time; then, times as many
-#: hubs of a bucket in each round.
-SWEEPS, GROWTH = 3, 4
-#: Hubs of a bucket that meet its members in one place.
-BLOCK = 64
+#: Members of a bucket of which all pairs in different classes are compared at once; also
+#: the hubs of a bucket that meet its members in one place.
+CROWD = 128
+#: Hubs that each bucket chooses first, and times as many hubs in each later round.
+HUBS, GROWTH = 2, 4
 FEW_EDGES, FEW_ROOTS = 200_000, 1_000_000
 
 
@@ -48,17 +49,21 @@ def components(edges: DataFrame, python: bool = False) -> DataFrame:
     """(node, root) of every node of undirected ``edges`` (a, b); root is the least node.
 
     With ``python``, up to ``FEW_EDGES`` edges are united in one task, which then holds some
-    20 MB. More, or in a native plan all, take rounds that alternate two star steps until the edges are stars: each node hands its larger
-    neighbours, then its smaller ones, to the least node it knows. The number of rounds
-    grows with the logarithm of the longest chain; each is written to shared storage.
+    20 MB. More, or in a native plan all, take rounds that alternate two star steps until
+    the edges are stars: each node hands its larger neighbours, then its smaller ones, to
+    the least node it knows. The number of rounds grows with the logarithm of the longest
+    chain; each is written to shared storage. Up to ``FEW_EDGES`` edges are one partition, so
+    that rounds need no shuffles; no round has more than the one before.
     """
     with Workspace(edges.sparkSession) as work:
         stars = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         before = _mark(stars)
         if python and before[0] <= FEW_EDGES:
             return work.keep(stars.coalesce(1).mapInArrow(_united, "node long, root long"))
+        parts = 1 if before[0] <= FEW_EDGES else None
         while before[0]:
-            both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            stars = stars.coalesce(parts) if parts else stars
+            both = stars.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
             least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
             large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
             down = large.groupBy("b").agg(F.min("a").alias("m"))
@@ -73,24 +78,28 @@ def components(edges: DataFrame, python: bool = False) -> DataFrame:
         return work.keep(leaves.unionByName(stars.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()))
 
 
-def _rooted(df: DataFrame, roots: DataFrame, name: str) -> DataFrame:
-    """``df`` with ``name``_root: the root of the node in column ``name``, or itself.
+class Forest:
+    """The root of each node that some verified pair has; other nodes are roots themselves."""
 
-    Up to ``FEW_ROOTS`` roots, 16 MB, go to all executors, and ``df`` stays where it is.
-    """
-    own = roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-    own = F.broadcast(own) if roots.limit(FEW_ROOTS + 1).count() <= FEW_ROOTS else own
-    return df.join(own, name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
+    def __init__(self, spark, python: bool = False):
+        self.roots, self.python, self.few = spark.createDataFrame([], "node long, root long"), python, True
+
+    def rooted(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` with ``name``_root: the root of the node in column ``name``.
 
+        Up to ``FEW_ROOTS`` roots, 16 MB, go to all executors, and ``df`` stays where it is.
+        """
+        own = self.roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+        return df.join(F.broadcast(own) if self.few else own, name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
 
-def merged(roots: DataFrame, edges: DataFrame, python: bool = False) -> DataFrame:
-    """``roots`` (node, root) after more ``edges`` (a, b), of which only those between
-    different roots matter."""
-    between = _rooted(_rooted(edges, roots, "a"), roots, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).filter("a <> b")
-    new = components(between, python)
-    moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-    known = moved.select("node", F.coalesce("to", "root").alias("root"))
-    return materialize(known.unionByName(new.join(roots, "node", "left_anti").select("node", "root")), "roots")
+    def add(self, edges: DataFrame) -> None:
+        """Unite the ends of ``edges`` (a, b); only those between different roots matter."""
+        between = self.rooted(self.rooted(edges, "a"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).filter("a <> b")
+        new = components(between, self.python)
+        moved = self.roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+        known = moved.select("node", F.coalesce("to", "root").alias("root"))
+        self.roots = materialize(known.unionByName(new.join(self.roots, "node", "left_anti").select("node", "root")), "roots")
+        self.few = self.roots.limit(FEW_ROOTS + 1).count() <= FEW_ROOTS
 
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
@@ -102,85 +111,121 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
 
 
 def classes(
-    members: DataFrame,
+    keys: DataFrame,
     sketches: DataFrame,
-    bands: int,
-    alike: Callable[[str, str], Column],
+    alike: Callable[[str, str], tuple[Column, Column]],
     verify: Callable[[DataFrame], DataFrame],
     tag: str,
+    prepare: Callable[[DataFrame], None] | None = None,
+    split: Callable[[DataFrame], DataFrame] | None = None,
+    scan: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    crowd: int = CROWD,
     python: bool = False,
 ) -> DataFrame:
     """(node, root) of all nodes that a chain of verified pairs in common buckets connects.
 
-    ``members`` has key, band and id, of buckets with several ids, and ``sketches`` id and a
-    struct ``sketch``, by which ``alike(x, y)`` tells cheaply that two ids may be similar;
-    its fields k0, k1 ... are the id's keys in the ``bands``. A pair that shares several
-    buckets comes out of the first in which the one is a hub.
-    ``verify`` keeps the pairs (a: member, b: hub) that are similar. ``python`` allows that
-    few edges are united in Python.
-
-    ``SWEEPS`` times every id is compared with one hub, the least of those that its buckets
-    choose by another order each time; that connects most of a group of near copies at one
-    comparison a member. Then, in buckets that still hold several classes, members outside
-    the bucket's largest class take turns as hubs, ``GROWTH`` times as many in each round
-    and those of different classes first, and are compared with all members of other
-    classes that were no hubs before. It ends when no bucket has such a member left: of any
-    two members in different classes one is outside the largest and has been a hub, so no
-    pair that may be similar went unverified. Large rounds are dealt out in blocks of hubs.
+    ``keys`` has key and id, of buckets with several ids (and columns for ``split``), and ``sketches`` id and a struct
+    ``sketch``, by which ``alike(x, y)`` tells cheaply whether two ids may be similar, and how
+    much they seem to be (a number).
+    ``verify`` keeps the pairs (a > b) that are similar; ``prepare`` is told the ids (id) of
+    which most will be compared. ``python`` allows that few edges are united in Python.
+
+    First each id is compared with one hub, of the ``HUBS`` that each of its buckets chooses
+    the one that it seems most similar to; that connects most of a group of near copies at one
+    comparison a member. Then, in buckets of at most ``crowd`` ids, all pairs that are still in different
+    classes are compared. Larger buckets that hold several classes are split: ``split``
+    gives their rows a column ``next``, the keys under which ids meet that have more in
+    common, or null where there is nothing more; the same steps follow. Rows that cannot be
+    split, or all without ``split``, are compared with their whole bucket by rounds(); or with
+    all members of a crowd, where ``scan`` is given: (crowd, id) of those outside the crowd's
+    largest class and (crowd, id) of all its members, as an edge (a, b) for each similar pair.
     """
-    spark = members.sparkSession
-    members = materialize(members.join(sketches, "id").select("key", "band", "id", "sketch"), tag)
-    roots, checked = spark.createDataFrame([], "node long, root long"), None
-    near = (F.col("id_root") != F.col("hub_root")) & (F.col("id") != F.col("hub")) & alike("sketch", "hub_sketch")
-    shared = [
-        F.when((F.col(f"sketch.k{k}") == F.col(f"hub_sketch.k{k}")) & (F.col("turns").bitwiseAND(F.lit(1 << k)) != 0), F.lit(k)) for k in range(bands)
-    ]
-    near = near & (F.col("band") == F.coalesce(*shared))
-
-    def compare(hubs: DataFrame, others: DataFrame, one_each: bool) -> None:
-        nonlocal roots, checked
-        turns = F.bit_or(F.expr("shiftleft(1L, hub_band)")).over(Window.partitionBy("hub"))  # a row a band at most
-        theirs = _rooted(hubs.withColumn("turns", turns).drop("hub_band"), roots, "hub")
-        on = ["key", "block"] if "block" in hubs.columns else ["key"]
-        if "block" in on:
-            blocks = hubs.groupBy("key").agg(F.max("block").alias("last"))
-            others = others.join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
-        met = _rooted(others, roots, "id").join(theirs, on).filter(near)
-        met = met.groupBy("id").agg(F.min("hub").alias("hub")) if one_each else met.select("id", "hub").distinct()
+    forest = Forest(keys.sparkSession, python)
+    checked: DataFrame | None = None
+    able, much = alike("sketch", "hub_sketch")
+    may = (F.col("id_root") != F.col("hub_root")) & able
+
+    def compare(met: DataFrame) -> None:
+        """Verify the pairs (id, hub) not met before, and unite those that are similar."""
+        nonlocal checked
         pairs = met.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
         pairs = materialize(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), tag)
         if not pairs.isEmpty():
-            roots = merged(roots, materialize(verify(pairs), tag), python)
+            forest.add(materialize(verify(pairs), tag))
             checked = pairs if checked is None else checked.unionByName(pairs)
 
-    def with_sketch(chosen: DataFrame) -> DataFrame:
-        rest = [c for c in chosen.columns if c not in ("key", "id")]
-        return members.join(chosen, ["key", "id"]).select("key", F.col("id").alias("hub"), F.col("band").alias("hub_band"), F.col("sketch").alias("hub_sketch"), *rest)
-
-    for sweep in range(SWEEPS):
-        order = F.col("id") if not sweep else F.xxhash64(F.lit(sweep), "id")
-        compare(materialize(with_sketch(members.groupBy("key").agg(F.min_by("id", order).alias("id"))), tag), members, one_each=True)
-
-    def mixed() -> DataFrame:
-        sizes = _rooted(members.select("key", "id"), roots, "id").groupBy("key", "id_root").agg(F.count(F.lit(1)).alias("n"))
-        found = sizes.groupBy("key").agg(F.max_by("id_root", F.struct("n", "id_root")).alias("largest"), F.count(F.lit(1)).alias("classes"))
-        return materialize(found.filter("classes > 1").select("key", "largest"), tag)
-
-    several, n = mixed(), 1
-    members = materialize(members.join(several.select("key"), "key", "left_semi"), tag)
-    left = members  # those that were no hubs
-    while not several.isEmpty():
-        n *= GROWTH
-        outside = _rooted(left.select("key", "id"), roots, "id").join(several, "key").filter("id_root <> largest")
-        outside = outside.withColumn("turn", F.row_number().over(Window.partitionBy("key", "id_root").orderBy("id")))
-        chosen = outside.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("turn", "id"))).filter(F.col("n") <= n)
-        block = [] if n <= BLOCK else [F.expr(f"cast((n - 1) div {BLOCK} as int)").alias("block")]
-        hubs = materialize(with_sketch(chosen.select("key", "id", *block)), tag)
-        if hubs.isEmpty():
-            break
-        compare(hubs, left, one_each=False)
-        several = mixed()
-        members = materialize(members.join(several.select("key"), "key", "left_semi"), tag)
-        left = left.join(several.select("key"), "key", "left_semi")
-        left = materialize(left.join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti").select(*members.columns), tag)
-    return roots
+    def as_hubs(rows: DataFrame, *more: str) -> DataFrame:
+        return forest.rooted(rows.select("key", F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch"), *more), "hub")
+
+    def sweep(held: DataFrame) -> None:
+        orders = [F.xxhash64(F.lit(turn), "id") if turn else F.col("id") for turn in range(HUBS)]
+        found = held.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by("id", order) for order in orders])).alias("ids"))
+        hubs = as_hubs(held.join(found.select("key", F.explode("ids").alias("id")), ["key", "id"]))
+        met = forest.rooted(held, "id").join(hubs, "key").filter(may).select("id", "hub", much.cast("long").alias("much"))
+        best = met.groupBy("id").agg(F.max("much").alias("much"))
+        met = materialize(met.join(best, ["id", "much"]).groupBy("id").agg(F.min("hub").alias("hub")), tag)
+        if prepare is not None:
+            crowded = held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd)
+            prepare(met.select(F.explode(F.array("id", "hub")).alias("id")).unionByName(held.join(crowded, "key", "left_semi").select("id")).distinct())
+        compare(met)
+
+    def mixed(held: DataFrame) -> DataFrame:
+        sizes = forest.rooted(held.select("key", "id"), "id").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id_root").alias("x"), F.max("id_root").alias("y"))
+        return sizes.filter("x <> y").select("key", "n")
+
+    def rounds(held: DataFrame) -> None:
+        """Exact, whatever the bucket: members that are ``last`` take turns as hubs,
+        ``GROWTH`` times as many in each round and those of different classes first, and are
+        compared with all members of other classes that were no hubs before. Where all are
+        last, those of the largest class need no turn: of any two members in different
+        classes one is outside of it and has been a hub. Many hubs are dealt out in blocks."""
+        n, left = CROWD, held
+        while True:
+            sizes = forest.rooted(held, "id").groupBy("key", "id_root").agg(F.count(F.lit(1)).alias("n"), F.bool_and("last").alias("last"))
+            found = sizes.groupBy("key").agg(F.max_by("id_root", F.struct("n", "id_root")).alias("largest"), F.count(F.lit(1)).alias("classes"), F.bool_and("last").alias("all"))
+            outside = forest.rooted(left.filter("last"), "id").join(found.filter("classes > 1"), "key").filter("not all or id_root <> largest")
+            outside = outside.withColumn("turn", F.row_number().over(Window.partitionBy("key", "id_root").orderBy("id")))
+            chosen = outside.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("turn", "id"))).filter(F.col("turn") <= n)
+            hubs = materialize(chosen.select("key", "id", "sketch", F.expr(f"cast((turn - 1) div {CROWD} as int)").alias("block")), tag)
+            if hubs.isEmpty():
+                return
+            blocks = hubs.groupBy("key").agg(F.max("block").alias("end"))
+            others = forest.rooted(left.select("key", "id", "sketch"), "id").join(blocks, "key")
+            others = others.withColumn("block", F.explode(F.sequence(F.lit(0), "end"))).drop("end")
+            compare(others.join(as_hubs(hubs, "block"), ["key", "block"]).filter(may).select("id", "hub"))
+            left = materialize(left.join(hubs.select("key", "id"), ["key", "id"], "left_anti").select(*held.columns), tag)
+            n *= GROWTH
+
+    def crowds(held: DataFrame) -> DataFrame:
+        """Links of mixed buckets, those with the same largest class taken together: of any
+        two members in different classes one is outside of it, and meets the other once."""
+        rooted = forest.rooted(held.select("key", "id"), "id")
+        largest = rooted.groupBy("key", "id_root").count().groupBy("key").agg(F.max_by("id_root", F.struct("count", "id_root")).alias("crowd"))
+        members = materialize(rooted.join(largest, "key").select("crowd", "id", "id_root").distinct(), tag)
+        return scan(members.filter("id_root <> crowd").select("crowd", "id"), members.select("crowd", "id"))
+
+    while True:
+        held = materialize(keys.join(sketches, "id").select(*keys.columns, "sketch"), tag)
+        if held.isEmpty():
+            return forest.roots
+        sweep(held)
+        several = materialize(mixed(held), tag)
+        few = held.join(several.filter(F.col("n") <= crowd).select("key"), "key")
+        compare(forest.rooted(few, "id").join(as_hubs(few), "key").filter(F.col("id") < F.col("hub")).filter(may).select("id", "hub"))
+        held = materialize(held.join(several.filter(F.col("n") > crowd).select("key"), "key"), tag)
+        held = materialize(held.join(mixed(held).select("key"), "key", "left_semi"), tag)
+        if scan is not None:
+            if not held.isEmpty():
+                forest.add(materialize(crowds(held), tag))
+            return forest.roots
+        if split is None:
+            rounds(held.withColumn("last", F.lit(True)))
+            return forest.roots
+        if held.isEmpty():
+            return forest.roots
+        further = materialize(split(held), tag)
+        ends = further.filter("next is null").select("key", "id", F.lit(True).alias("last"))
+        flagged = held.join(ends.select("key").distinct(), "key", "left_semi").join(ends, ["key", "id"], "left")
+        rounds(materialize(flagged.withColumn("last", F.coalesce("last", F.lit(False))), tag))
+        keys = further.filter("next is not null").drop("key").withColumnRenamed("next", "key").dropDuplicates(["key", "id"])
+        keys = materialize(shared_buckets(keys), tag)
