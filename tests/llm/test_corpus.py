@@ -476,6 +476,15 @@ def test_one_long_word_does_not_outweigh_characters(spark):
     assert kept_lines(spark, " ".join([*w, "x" * 80]), " ".join([*w, "y" * 80])) == [0, 1]
 
 
+def test_copies_in_a_crowd_that_share_two_blocks_only(spark):
+    """200 unlike lines share two long words; a copy of one has all its other long words changed."""
+    letters = lambda n, seed: "".join(random.Random(seed).choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    shared = lambda i: ["commonword", "otherword", *(letters(7, 100 * i + k) for k in range(6)), *(letters(5, 100 * i + k) for k in range(6, 18))]
+    lines = [" ".join(shared(i)) for i in range(200)]
+    lines.append(" ".join(x[:3] + ("q" if x[3] != "q" else "z") + x[4:] if len(x) == 7 else x for x in shared(90)))
+    assert kept_lines(spark, *lines) == list(range(200))
+
+
 def test_recall_by_line_length(spark):
     rng, rows = random.Random(11), []
     sizes, pairs = (4, 6, 8, 10, 14, 20, 40, 120), 100
