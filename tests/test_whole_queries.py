@@ -1,9 +1,11 @@
 """Queries over all names and features, beside those over a few."""
 
+import threading
+
 import numpy as np
 import pytest
 
-from tapeloom.operators import features
+from tapeloom.operators import features, model
 from tapeloom.plans import queries
 from tapeloom.plans.queries import QUERIES
 
@@ -49,3 +51,8 @@ def test_trainings_take_all_features_and_the_production_model(spark, sf_dir, mon
     for name in ("train_gbt_oos_all", "train_gbt_folds_all", "leakage_controls_all"):
         QUERIES[name](spark, sf_dir)
     assert asked == [(tuple(features.names()), "gbt")] * 3
+
+
+def test_fits_run_side_by_side_and_keep_their_order(spark):
+    meet = threading.Barrier(3)
+    assert model.at_once(lambda x: (meet.wait(30) >= 0, x), [3, 1, 2]) == [(True, 3), (True, 1), (True, 2)]
