@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, release, small_batches, tidy
+from .common import release, resident, small_batches, tidy
 
 
 def _class(chars: list[int]) -> str:
@@ -44,6 +44,8 @@ def _class(chars: list[int]) -> str:
 WORD = re.compile(r"[^\W\d_]+")
 LETTERS = re.compile(rf"[^\W_{_class([c for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha()])}]+")
 LONGEST = 5
+#: Characters of a word that is kept in a worker's table at most.
+LONG = 64
 UNKNOWN = "und"
 
 
@@ -114,21 +116,38 @@ class Model:
             np.add.at(counts, (row, at[own]), n[own])
             self.tables.append((distinct, (np.log(counts + 0.5) - np.log(counts.sum(axis=0) + 0.5 * (len(distinct) + 1))).astype(np.float32)))
 
-    def known(self, size: int, grams: list[str]) -> np.ndarray:
-        """A row for each of ``grams`` that the table of their size has."""
+    def _found(self, size: int, grams: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``grams`` the table of their size has, and the rows of those."""
         keys, values = self.tables[size]
+        if not len(keys):
+            return np.zeros(len(grams), bool), values[:0]
         wanted = np.fromiter(map(key_of, grams), np.int64, len(grams))
         at = np.searchsorted(keys, wanted)
         at[at == len(keys)] = 0
-        return values[at[keys[at] == wanted]] if len(keys) else values[:0]
+        hit = keys[at] == wanted
+        return hit, values[at[hit]]
+
+    def known(self, size: int, grams: list[str]) -> np.ndarray:
+        """A row for each of ``grams`` that the table of their size has."""
+        return self._found(size, grams)[1]
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its own, or the mean of those of its longest known n-grams."""
+        out, left = np.zeros((len(words), len(self.langs))), np.arange(len(words))
+        for size in (0, *range(LONGEST, 0, -1)):
+            cut = [grams(words[i], size) if size else [words[i]] for i in left]
+            hit, rows = self._found(size, [g for own in cut for g in own])
+            owner = np.repeat(np.arange(len(left)), [len(own) for own in cut])[hit]
+            n = np.bincount(owner, minlength=len(left))
+            for k in range(out.shape[1]):
+                out[left, k] = np.bincount(owner, rows[:, k], len(left)) / np.maximum(n, 1)
+            left = left[n == 0]
+            if not len(left):
+                break
+        return out
 
     def word(self, word: str) -> np.ndarray:
-        if len(found := self.known(0, [word])):
-            return found[0].astype(float)
-        for size in range(LONGEST, 0, -1):
-            if len(found := self.known(size, grams(word, size))):
-                return found.mean(axis=0, dtype=float)
-        return np.zeros(len(self.langs))
+        return self.words([word])[0]
 
 
 class Scorer:
@@ -137,15 +156,25 @@ class Scorer:
     def __init__(self, model: Model, limit: int = 200_000):
         self.model, self.limit = model, limit
         self.rows = np.zeros((limit + 1, max(1, len(model.langs))))
-        self.table = Memo(self._row, limit, longest=64)
+        self.table: dict[str, int] = {}
         self.n = 1  # row 0 is that of words without a letter
 
-    def _row(self, word: str) -> int:
-        if not (runs := LETTERS.findall(word)):
-            return 0
-        self.rows[self.n] = sum(self.model.word(run) for run in runs)
-        self.n += 1
-        return self.n - 1
+    def _places(self, words: list[str]) -> np.ndarray:
+        """The row of each word; words not met before are looked up together."""
+        new = list(set(words).difference(self.table))
+        cut = [[word] if word.isalpha() else LETTERS.findall(word) for word in new]
+        runs = [run for own in cut for run in own]
+        owner = np.repeat(np.arange(len(new)), [len(own) for own in cut])
+        if runs:
+            self.rows[self.n : self.n + len(new)] = 0
+            np.add.at(self.rows, self.n + owner, self.model.words(runs))
+        self.table.update((word, self.n + i if own else 0) for i, (word, own) in enumerate(zip(new, cut, strict=True)))
+        self.n += len(new)
+        at = np.fromiter(map(self.table.__getitem__, words), np.int64, len(words))
+        for word in new:
+            if len(word) > LONG:
+                del self.table[word]
+        return at
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall(text.lower()) if text else []
@@ -157,7 +186,7 @@ class Scorer:
             if self.n + len(part) > self.limit:
                 self.table.clear()
                 self.n = 1
-            at = np.fromiter(map(self.table.__getitem__, part), np.int64, len(part))
+            at = self._places(part)
             total += self.rows[at].sum(axis=0)
             n += np.count_nonzero(at)
         if not n:
@@ -187,15 +216,9 @@ def train(docs: DataFrame, max_rows: int = 20_000) -> Model:
     return model
 
 
-#: The last scorer of this Python worker, kept for the tasks that follow.
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
-    if model.name not in _scorers:
-        _scorers.clear()
-        _scorers[model.name] = Scorer(model)
-    return _scorers[model.name]
+    """The scorer of this Python worker, for the tasks that follow."""
+    return resident(f"language {model.name}", lambda: Scorer(model))
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -160,6 +160,27 @@ def test_scores_equal_brute_force(spark):
         assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, abs=2e-6)
 
 
+def test_new_words_of_a_text_are_looked_up_together(monkeypatch):
+    """A table's lookup costs far more than a word: one for each length, not one for each word."""
+    model = language.Model(["a", "b"], [0, 1, 0, 1], [0, 1, 1, 2], [language.key_of(x) for x in ("known", "q", "k", "<z")], [5, 9, 9, 4])
+    lookups, found = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **k: lookups.append(1) or found(*a, **k))
+    score, text = language.Scorer(model, limit=300), " ".join(["known", "k2k", "½", "y" * 100, *words(250, seed=3)])
+    want = sum(model.word(run) for w in language.WORD.findall(text) for run in language.LETTERS.findall(w))
+    lookups.clear()
+    first, cost = score(text), len(lookups)
+    assert 0 < cost <= 6 and "y" * 100 not in score.table and score(text) == first
+    assert first[0] == model.langs[int(np.argmax(want))]
+
+
+def test_a_worker_keeps_the_table_of_one_operator():
+    made = []
+    one = common.resident("one", lambda: made.append("one") or [1])
+    assert common.resident("one", list) is one
+    common.resident("two", lambda: made.append("two") or [2])
+    assert list(common._resident) == ["two"] and made == ["one", "two"]
+
+
 def test_numerals_are_no_letters(spark):
     docs = spark.createDataFrame([(1, "baba", "aa"), (3, "² ½ Ⅷ", None), (4, "baba² ½", None)], DOCS + ", lang string")
     said = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(docs, language.train(docs)).collect()}
