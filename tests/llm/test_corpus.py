@@ -382,6 +382,35 @@ def test_document_frequencies_are_exact(spark):
     assert sorted(round(float(v), 6) for v in weights.values) == sorted(round(float(0.5 + 0.5 * np.log(s) / np.log(0.5)), 6) for s in (0.8, 0.8, 0.64))
 
 
+def test_frequent_shingles_weigh_less_by_idf(spark):
+    """40 of 400 documents share 40 words and have 4 of their own: alike by counts, not by TF-IDF."""
+    shared = words(40, seed=1, vocabulary=10**6)
+    texts = [" ".join([*shared, *words(4, seed=100 + i, vocabulary=10**6)]) for i in range(40)]
+    texts += [" ".join(words(60, seed=1000 + i, vocabulary=10**6)) for i in range(300)]
+    texts += [t + " appended" for t in texts[40:100]]  # pairs of near copies
+    bags = []
+    for t in texts:
+        w, bag = t.split(), {}
+        for i in range(len(w) - 4):
+            bag[tuple(w[i : i + 5])] = bag.get(tuple(w[i : i + 5]), 0) + 1
+        bags.append(bag)
+    df = {}
+    for bag in bags:
+        for s in bag:
+            df[s] = df.get(s, 0) + 1
+    n = len(texts)
+    idf = {s: 0.5 + 0.5 * min(1.0, math.log(n / x) / math.log(n / max(2, n / 1000))) for s, x in df.items()}
+
+    def like(a, b, weigh):
+        both = sum(min(a[s], b[s]) * weigh(s) for s in a.keys() & b.keys())
+        return both / (sum(x * weigh(s) for bag in (a, b) for s, x in bag.items()) - both)
+
+    assert like(bags[0], bags[1], lambda s: 1) >= 0.8 > like(bags[0], bags[1], idf.get)
+    edges = [(i, j) for i in range(n) for j in range(i) if bags[i].keys() & bags[j].keys() and like(bags[i], bags[j], idf.get) >= 0.8]
+    found = {r["doc_id"]: r["class_id"] for r in near_copies.classes(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert len(edges) == 60 and found == classes_of(edges, range(n))
+
+
 def test_samples_agree_as_often_as_weights_do():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 3000).astype(np.uint64)
