@@ -218,7 +218,7 @@ def train(docs: DataFrame, max_rows: int = 20_000) -> Model:
 
 def scorer(model: Model) -> Scorer:
     """The scorer of this Python worker, for the tasks that follow."""
-    return resident(f"language {model.name}", lambda: Scorer(model))
+    return resident(model.name, lambda: Scorer(model))
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -235,17 +235,18 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             made = [pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return source.mapInArrow(tidy(run), schema)
+    return source.mapInArrow(tidy(run, model.name), schema)
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without those that have no letter, and so no language; columns as they are."""
     small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    name = model.name  # the model itself goes by broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(shared.value)
         for batch in batches:
             yield batch.filter(pa.array([score(text)[0] != UNKNOWN for text in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return docs.mapInArrow(tidy(run, name), docs.schema)

@@ -19,13 +19,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, small_batches, text_or_empty, tidy
+from .common import Memo, resident, small_batches, text_or_empty, tidy
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
@@ -65,10 +64,13 @@ class ChunkTable:
         return coded, self.sp.decode(list(map(int, coded[:-1].split(b","))))
 
 
-@cache
 def table_of(model_path: str) -> ChunkTable:
     """One table of chunks in each Python worker for all its tasks."""
-    return ChunkTable(model_path)
+    return resident(_name(model_path), lambda: ChunkTable(model_path))
+
+
+def _name(model_path: str) -> str:
+    return f"pieces {model_path}"
 
 
 def encode(
@@ -102,4 +104,4 @@ def encode(
                 names.append("ids")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *names])
 
-    return source.mapInArrow(tidy(run), schema)
+    return source.mapInArrow(tidy(run, _name(model_path)), schema)

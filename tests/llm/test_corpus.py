@@ -179,6 +179,8 @@ def test_a_worker_keeps_the_table_of_one_operator():
     assert common.resident("one", list) is one
     common.resident("two", lambda: made.append("two") or [2])
     assert list(common._resident) == ["two"] and made == ["one", "two"]
+    assert list(common.tidy(iter, "two")([5])) == [5] and list(common._resident) == ["two"]
+    assert list(common.tidy(iter)([5])) == [5] and not common._resident
 
 
 def test_numerals_are_no_letters(spark):
