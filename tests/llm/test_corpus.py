@@ -413,6 +413,17 @@ def test_frequent_shingles_weigh_less_by_idf(spark):
     assert len(edges) == 60 and found == classes_of(edges, range(n))
 
 
+def test_small_partitions_name_no_more_shingles(spark, monkeypatch):
+    """A shingle of one document in 4,000 is no candidate, however few documents a partition has."""
+    made, materialize = [], near_copies.materialize
+    monkeypatch.setattr(near_copies, "materialize", lambda df, tag: made.append(materialize(df, tag)) or made[-1])
+    rows = [(i, " ".join(["a b c d e f"] * (i % 100 == 0) + words(12, seed=i, vocabulary=10**6))) for i in range(4_000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    weights = [near_copies.common_shingles(docs.repartition(parts), near_copies.BLOCK, near_copies.RARE) for parts in (4, 200)]
+    assert made[1].count() <= 2 * made[0].count() < 100
+    assert [len(w.keys) for w in weights] == [2, 2] and (weights[0].values == weights[1].values).all()
+
+
 def test_samples_agree_as_often_as_weights_do():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 3000).astype(np.uint64)
