@@ -691,3 +691,21 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, none, str(tmp_path)).count() == 0
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == {1, 2, 6, 7} and all(len(r["ids"]) == r["n_tokens"] for r in out)
+
+
+@pytest.mark.parametrize("name", ["line_dedup", "near_dedup", "decontamination", "sentencepiece"])
+def test_a_stage_begins_without_the_garbage_of_the_one_before(spark, sf_dir, monkeypatch, name):
+    """A heap that a stage made the executors take goes back to the system before the next one runs."""
+    import corpus_pipeline
+
+    stage, heap = dict(corpus_pipeline.STAGES)[name], spark._jvm.java.lang.Runtime.getRuntime()
+    docs = spark.createDataFrame([(1, "a line of some words")], DOCS)
+    spark._jvm.System.gc()
+    least = heap.totalMemory()
+    spark.range(0, 8_000_000, 1, 8).selectExpr("md5(cast(id as string)) as x").orderBy("x").select(F.max("x")).collect()
+    monkeypatch.setattr(common, "release", lambda spark: None)  # the driver's, which is the executor here
+    for module, call in (("line_dedup", "dedup"), ("near_copies", "keep_one"), ("decontaminate", "clean"), ("piece_codec", "encode")):
+        monkeypatch.setattr(getattr(corpus_pipeline, module), call, lambda docs, *_, **__: docs)
+    before = heap.totalMemory()
+    stage(spark, docs, sf_dir)
+    assert before > 2 * least and heap.totalMemory() < before / 2
